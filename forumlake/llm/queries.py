@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.llm.packing import pack_documents
+from forumlake.llm.quality import junk_probability, named_statistics
 from forumlake.llm.tokenize import encode_documents
 from forumlake.llm.topn import top_n
 from forumlake.schema import second, somebody
@@ -40,7 +41,15 @@ def p8_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(spark, table(spark, root, "documents"), table(spark, root, "pack_capacity"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return junk_probability(table(spark, root, "documents")).where("junk >= 0.5").select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
+    return named_statistics(table(spark, root, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 _SEC = "nullif(case when dateline > 100000000000 then dateline // 1000 else dateline end, 0)"
 
