@@ -1,8 +1,10 @@
 """Prose or not: boosted trees on document statistics, learned from weak labels.
 
 A sample of the corpus of bounded size is labelled by rules that are sure only in clear
-cases; trees fitted on its statistics learn to judge the cases between; their scores become
-probabilities on texts checked by hand. The model then reads every document.
+cases. Prose and junk of the sample are also put together, with the lesser part cut to a
+known share, so that there are labelled cases near the middle. Trees fitted on the statistics
+of all these learn to judge; their scores become probabilities on texts checked by hand. The
+model then reads every document.
 
 Distribution: no shuffle. The sample is chosen by a hash of doc_id with a threshold from the
 row count, so choosing it needs neither a sort nor a text; what the driver gets is numbers,
@@ -24,7 +26,7 @@ from forumlake.llm.holdout import JUNK, PROSE
 from forumlake.llm.statistics import NAMES, statistics, weak_label
 
 #: Rows aimed at for the training sample, and the most that are taken.
-SAMPLE, MOST_SAMPLED = 4_000, 8_000
+SAMPLE, MOST_SAMPLED = 4_000, 12_000
 #: Labelled rows of each class that a sample must have to be used alone.
 ENOUGH = 20
 _STATS = "doc_id bigint, stats array<double>"
@@ -46,8 +48,49 @@ def document_statistics(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, _STATS)
 
 
+#: Shares of the lesser part in texts put together, taken in turn.
+SHARES = (0.15, 0.25, 0.33, 0.4)
+
+
+def put_together(prose: str, junk: str, share: float, most_prose: bool, glue: str) -> str:
+    """A text of both, in which the lesser one is cut to a share of the whole."""
+    much, little = (prose, junk) if most_prose else (junk, prose)
+    cut = little[: int(len(much) * share / (1 - share))]
+    return cut + glue + much if len(much) % 2 else much + glue + cut
+
+
+def training_rows(documents: DataFrame) -> DataFrame:
+    """stats, label of documents the rules are sure of, and of texts put together from neighbours among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[list[float], int]] = []
+            last: dict[int, str] = {}
+            for t in b.column(1).to_pylist():
+                if _is_blank(t):
+                    continue
+                s = statistics(t)
+                label = weak_label(s)
+                if label is None:
+                    continue
+                rows.append((s, label))
+                other = last.get(1 - label)
+                if other and 60 < len(t) < 20_000:
+                    pair = (t, other) if label == 0 else (other, t)
+                    k = len(rows)
+                    for most_prose in (True, False):
+                        text = put_together(*pair, SHARES[k % len(SHARES)], most_prose, ("\n", " ", "\n\n")[k % 3])
+                        rows.append((statistics(text), 0 if most_prose else 1))
+                if 60 < len(t) < 20_000:
+                    last[label] = t
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], names=["stats", "label"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "stats array<double>, label int")
+
+
 def fit_classifier(documents: DataFrame, sample: int = SAMPLE) -> boosting.Trees:
-    """A calibrated model from at most 2 * sample rows of documents, chosen by hash of doc_id.
+    """A calibrated model from about sample documents, chosen by hash of doc_id, at most MOST_SAMPLED rows.
 
     If the sample has fewer than ENOUGH labelled rows of a class (a tiny or one-sided corpus),
     the hand-checked texts are learned from as well.
@@ -55,11 +98,9 @@ def fit_classifier(documents: DataFrame, sample: int = SAMPLE) -> boosting.Trees
     grid = 1 << 20
     n = documents.count()
     part = grid if n <= sample else max(1, grid * sample // n)
-    rows = document_statistics(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < part)).limit(min(2 * sample, MOST_SAMPLED)).collect()
-    stats = sorted((list(r["stats"]) for r in rows))
-    labels = [weak_label(s) for s in stats]
-    x = [s for s, v in zip(stats, labels, strict=True) if v is not None]
-    y = [v for v in labels if v is not None]
+    rows = training_rows(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < part)).limit(MOST_SAMPLED).collect()
+    rows = sorted((list(r["stats"]), r["label"]) for r in rows)
+    x, y = [r[0] for r in rows], [r[1] for r in rows]
     hx, hy = [statistics(t) for t in (*PROSE, *JUNK)], [0] * len(PROSE) + [1] * len(JUNK)
     if min(sum(y), len(y) - sum(y)) < ENOUGH:
         x, y = x + hx, y + hy

@@ -80,9 +80,7 @@ def _is_row(line: str) -> bool:
 def _periodic_share(text: str) -> float:
     """The share of characters that equal the one some fixed number of places before, for the best number."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if len(x) < 5 * _PERIODS:
-        return 0.0
-    return max(float((x[p:] == x[:-p]).mean()) for p in range(1, _PERIODS + 1))
+    return max((float((x[p:] == x[:-p]).mean()) for p in range(1, _PERIODS + 1) if len(x) >= 5 * p and len(x) > 12), default=0.0)
 
 
 def _is_listed(line: str) -> bool:
@@ -136,7 +134,7 @@ def statistics(text: str) -> list[float]:
     total = max(1, in_list + chars[True] + chars[False])
     repeated = sum(len(k) * v for k, v in seen.items() if v > 2)
     # what comes again and again is a sentence of its own only once
-    flood = sum(len(k) * (v - 1) for k, v in seen.items() if v > 2 and _is_sentence(k))
+    flood = sum(len(k) * (v - 1) for k, v in seen.items() if v > 2 and _is_sentence(k)) if repeated > 0.6 * total else 0
     chars[True] = max(0, chars[True] - flood)
     chars[False] += flood
     ends, pauses = len(_END.findall(text)), len(_PAUSE.findall(text))
