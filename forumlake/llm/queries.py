@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlake.llm.main_body import main_body
 from forumlake.llm.packing import pack_documents
 from forumlake.llm.quality import junk_probability, named_statistics
 from forumlake.llm.tokenize import encode_documents
@@ -33,6 +34,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return top.select(kind.alias("kind"), F.col("g2").alias("uid"), F.col("tie1").cast("int").alias("type"), F.col("tie2").cast("int").alias("mid"), F.col("item").alias("pid"))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return main_body(table(spark, root, "topic"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode_documents(spark, table(spark, root, "documents"))
 
@@ -49,7 +54,7 @@ def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
     return named_statistics(table(spark, root, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 _SEC = "nullif(case when dateline > 100000000000 then dateline // 1000 else dateline end, 0)"
 
