@@ -13,7 +13,9 @@ from forumlake.operators.relatedness import relatedness
 from forumlake.plans import model as M
 from forumlake.plans.model import AS_OF, SQL
 from forumlake.schema import DAY, second
-from forumlake.session import table
+from forumlake.session import scratch, table
+from forumlake.sources import documents, topic_pages
+from forumlake.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -557,3 +559,55 @@ def health_freshness(sp: SparkSession, d: str) -> DataFrame:
     r = table(sp, d, "ba_post").groupBy(F.col("type").alias("repo")).agg(F.max(second(F.col("dateline"))).alias("last_commit"))
     r = r.withColumn("is_static", F.col("repo") == 200).withColumn("name", F.lit("current"))
     return history.freshness(r, AS_OF).select("repo", "last_commit", "stale")
+
+
+# -- documents, pages, streams -----------------------------------------------
+def _topic_documents(sp: SparkSession, d: str) -> DataFrame:
+    """The files that are topic documents (not lists of records), each body once."""
+    return documents.read_topics(table(sp, d, "raw_file").select("body").where("body is not null").distinct())
+
+
+_DOCS = r"""with b as (select distinct body from raw_file where body like '{%"postList"%' and json_valid(body)),
+t as (select cast(body->>'$.id' as integer) as topic_id, lower(body->>'$.space.type') as kind, unnest(cast(body->'$.postList' as json[])) as r from b),
+p as (select case kind when 'group' then 8 when 'subject' then 10 when 'ep' then 11 when 'blog' then 21 when 'person' then 200 else 300 end as type, topic_id,
+      cast(r->>'$.id' as integer) as id, cast(r->>'$.mid' as integer) as mid, cast(r->>'$.user.id' as integer) as user_id, cast(r->>'$.dateline' as bigint) as dateline, cast(r->>'$.state' as integer) as state from t)"""
+
+
+@query("document_posts", _DOCS + " select type, id, mid, user_id as uid, dateline, state from p where coalesce(user_id, 1) <> 0")
+def document_posts(sp: SparkSession, d: str) -> DataFrame:
+    q = documents.all_posts(_topic_documents(sp, d)).where(S.is_real_author(F.col("user.id"), F.col("user.username")))
+    return q.select("type", "id", "mid", F.col("user.id").alias("uid"), "dateline", F.col("state").cast("int").alias("state"))
+
+
+@query("document_topic_state", _DOCS + " select type, topic_id as id, bit_or(coalesce(state, 0) & 14) as state from p group by 1, 2")
+def document_topic_state(sp: SparkSession, d: str) -> DataFrame:
+    return documents.topic_state(_topic_documents(sp, d))
+
+
+@query("document_last_post", _DOCS + " select type, topic_id as id, max(id) as last_post_pid from p group by 1, 2")
+def document_last_post(sp: SparkSession, d: str) -> DataFrame:
+    return documents.topic_rows(_topic_documents(sp, d)).groupBy("type", "id").agg(F.max("last_post_pid").alias("last_post_pid")).where("last_post_pid is not null")
+
+
+@query("dead_letters", """select count(*) as n from (select distinct body from raw_file where body is not null and trim(body, ' ') <> '') where not (body like '{%"postList"%' and json_valid(body))""")
+def dead_letters(sp: SparkSession, d: str) -> DataFrame:
+    return documents.dead_letters(_topic_documents(sp, d)).agg(F.count("*").alias("n"))
+
+
+@query("parse_topics")
+def parse_topics(sp: SparkSession, d: str) -> DataFrame:
+    return topic_pages.parse_pages(table(sp, d, "topic"))
+
+
+@query("stream_ingest", _PV.replace("with v", "with v0").replace("snap_ts as seq", "snap_ts as seq") + """, v as (select * from v0)
+    select type, id, mid, arg_min(struct_pack(x := uid), seq).x as uid, arg_min(struct_pack(x := dateline), seq).x as dateline,
+    arg_max(struct_pack(x := state), seq).x as state, arg_max(struct_pack(x := coalesce(sid, 0)), seq).x as sid from v group by 1, 2, 3""")
+def stream_ingest(sp: SparkSession, d: str) -> DataFrame:
+    """Deliveries of posts as a stream, folded into a stored table; one delivery's repeated rows agree."""
+    schema = "snap_ts bigint, type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint"
+    path = f"{d}/ba_post_snapshot.parquet"
+    source = stream.parquet_stream(sp, path, schema, 1_000).withColumnRenamed("snap_ts", "seq")
+    target = stream.SnapshotTable(sp, scratch(sp, "ingest"), "type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint")
+    once = lambda v: v.groupBy("type", "id", "mid", "seq").agg(*[F.max(c).alias(c) for c in ("uid", "dateline", "state", "sid")])
+    stream.ingest(source, target, lambda v: merge.upsert_posts(once(v)), scratch(sp, "ingest-checkpoint"))
+    return target.read()
