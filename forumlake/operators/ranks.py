@@ -67,9 +67,9 @@ def recent_replies(posts: DataFrame, topics: DataFrame, users: DataFrame, spaces
 
 
 def reply_briefs(replies: DataFrame, top: int = 10) -> DataFrame:
-    """What of `recent_replies` is shown: titled, in order, not deleted; so there may be fewer than `top`."""
+    """What of `recent_replies` is shown of a username: titled, normal, in living topics; so there may be fewer than `top`."""
     shown = replies.where(F.col("title").isNotNull() & (F.col("state").bitwiseAND(1) == 0) & (F.col("topic_state").bitwiseAND(1) == 0))
-    return shown.withColumn("n", F.row_number().over(_latest("type", "uid"))).where(F.col("n") <= top).select("type", "username", "title", "mid", F.col("id").alias("pid"), "dateline", "space_display_name")
+    return shown.withColumn("n", F.row_number().over(_latest("type", "username"))).where(F.col("n") <= top).select("type", "username", "title", "mid", F.col("id").alias("pid"), "dateline", "space_display_name")
 
 
 def recent_likes_given(given: DataFrame, posts: DataFrame, topics: DataFrame, users: DataFrame, spaces: DataFrame, as_of: int, top: int = 5) -> DataFrame:

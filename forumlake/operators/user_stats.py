@@ -58,11 +58,14 @@ def user_stats(posts: DataFrame, topics: DataFrame, received: DataFrame, given:
         return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*cols)), asc=False).alias(alias))  # all of these are top-k or per face
 
     faces = lambda df, alias: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("face_key", "cnt"))).alias(alias))
+    recent = ranks.recent_topics(topics, posts, u, spaces, as_of).where("title is not null").select(*keys, "last_update_time", "id", "title", "dateline", "space_display_name")
+    # a username may have two ids, each with topics of its own
+    recent = recent.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("last_update_time").desc_nulls_last(), F.col("id").desc())))
     parts = [
         faces(likes.received_by_face(received, topics, posts, u), "likes_received"), faces(likes.given_by_face(given, topics, posts, u), "likes_given"),
         listed(space_stat(posts, topics, given, u, spaces), "spaces", ["post_total"]),
         listed(ranks.reply_briefs(ranks.recent_replies(posts, topics, u, spaces, as_of)), "replies", ["dateline"]),
-        listed(ranks.recent_topics(topics, posts, u, spaces, as_of).where("title is not null").select(*keys, "last_update_time", "id", "title", "dateline", "space_display_name"), "topics", ["last_update_time"]),
+        listed(recent.where("n <= 10").drop("n"), "topics", ["last_update_time"]),
         listed(ranks.like_briefs(ranks.recent_likes_given(given, posts, topics, u, spaces, as_of)), "likes", ["dateline"]),
     ]
     for p in parts:

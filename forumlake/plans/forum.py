@@ -136,7 +136,7 @@ def recent_replies(sp: SparkSession, d: str) -> DataFrame:
 
 
 @query("reply_briefs", SQL + _REPLIES + """ select type, username, title, mid, id as pid, dateline, space_display_name from r
-    where title is not null and state & 1 = 0 and topic_state & 1 = 0 qualify row_number() over (partition by type, uid order by dateline desc nulls last, id desc) <= 10""")
+    where title is not null and state & 1 = 0 and topic_state & 1 = 0 qualify row_number() over (partition by type, username order by dateline desc nulls last, id desc) <= 10""")
 def reply_briefs(sp: SparkSession, d: str) -> DataFrame:
     return ranks.reply_briefs(recent_replies(sp, d))
 
