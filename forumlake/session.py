@@ -87,3 +87,12 @@ def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, for costly work per row, where its files give fewer partitions than there are cores.
+
+    Large inputs come in enough partitions and are left as they are, so this shuffles small ones only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
