@@ -10,7 +10,7 @@ completed to the enclosing block around heading and posts, or on pages without b
 end of the last post, and lines that show no text of a post (author and date, floor numbers,
 signatures, buttons, adverts) are left out.
 
-Distribution: no shuffle of pages. Counting the sample is one small aggregation by token, and
+Distribution: no shuffle of pages (but where they come in fewer partitions than there are cores). Counting the sample is one small aggregation by token, and
 the table of weights, at most MOST_WEIGHTS rows, goes to the tasks; each page is read in one
 pass of its own.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlake.llm.page_lines import Line, Page, line_tokens, read_page, squeeze
+from forumlake.session import spread
 
 #: Pages aimed at for the labelled sample; rows of the weight table at most.
 SAMPLE_PAGES, MOST_WEIGHTS = 3_000, 50_000
@@ -129,7 +130,7 @@ def token_counts(pages: DataFrame) -> DataFrame:
             part = names[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([inside[t] for t in part], pa.int64()), pa.array([outside[t] for t in part], pa.int64())], names=["token", "inside", "outside"])
 
-    counts = pages.select("title", "contentHtml").mapInArrow(run, "token string, inside bigint, outside bigint")
+    counts = spread(pages.select("title", "contentHtml")).mapInArrow(run, "token string, inside bigint, outside bigint")
     return counts.groupBy("token").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
 
 
@@ -308,5 +309,6 @@ def main_body(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["page_id", "line_no"])
 
-    lines = pages.select("page_id", "title", "contentHtml").where("contentHtml is not null and contentHtml <> ''").mapInArrow(run, "page_id bigint, line_no int")
+    some = pages.select("page_id", "title", "contentHtml").where("contentHtml is not null and contentHtml <> ''")
+    lines = spread(some, "page_id").mapInArrow(run, "page_id bigint, line_no int")
     return lines.dropDuplicates(["page_id", "line_no"])

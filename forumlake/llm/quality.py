@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from forumlake.llm import boosting
 from forumlake.llm.holdout import JUNK, PROSE
 from forumlake.llm.statistics import NAMES, statistics, weak_label
+from forumlake.session import spread
 
 #: Rows aimed at for the training sample, and the most that are taken.
 SAMPLE, MOST_SAMPLED = 4_000, 12_000
@@ -45,7 +46,7 @@ def document_statistics(documents: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, _STATS)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, _STATS)
 
 
 #: Shares of the lesser part in texts put together, taken in turn.
@@ -86,7 +87,7 @@ def training_rows(documents: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], names=["stats", "label"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "stats array<double>, label int")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "stats array<double>, label int")
 
 
 def fit_classifier(documents: DataFrame, sample: int = SAMPLE) -> boosting.Trees:
@@ -125,7 +126,7 @@ def junk_probability(documents: DataFrame, model: boosting.Trees | None = None)
                 p = fitted.probability(np.array([statistics(texts[i]) for i in keep]))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array(p)], names=["doc_id", "junk"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, junk double")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, junk double")
 
 
 def named_statistics(documents: DataFrame) -> DataFrame:

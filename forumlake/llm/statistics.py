@@ -8,6 +8,7 @@ are cut into sentences, and each unit counts with its characters as a sentence o
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from math import log1p
@@ -27,23 +28,23 @@ _GLUE = frozenset(COMMON_CHARACTERS)
 #: Articles; in a sentence a noun or an adjective comes after them, hardly ever a common word.
 _ARTICLES = frozenset(("a", "an", "the", "ein", "eine", "einen"))
 
-_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}'’-]*|\p{Han}|\p{Hiragana}|\p{Katakana}|[\p{L}--[\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}]]+|\p{N}+", regex.V1)
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-_LINES = regex.compile(r"\r\n|\n|\r")
-_ITEM = regex.compile(r"^\s*(?:[-*+•·◦‣▪]\s+|\d{1,4}\s*[.)、:：]|\[[ xX✓]?\]|EP?\s?\d+\b|#\d+|\|)")
-_PAIR = regex.compile(r"^\s*[\p{L}\p{M} ]{1,16}\s?[:：]\s?(?:[?\-]$|[\p{L}\p{N}《\"].{0,40}$)")
-_ROW = regex.compile(r"\t|\s\|\s|[│┃║]|[┌┐└┘├┤─━═]{2}|\[/?t[rdh]\]|</?t[rdh]>|\S {3,}\S")
-_ENDED = regex.compile(r"[.!?。！？…」』”\"')）]\s*$")
-_CUT = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|(?<=……)")
-_URL = regex.compile(r"\b[a-z]+://\S+")
-_HEX = regex.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{2,}\b")
+_CJK_RANGE = "\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_CJK_RANGE}]|[^\W\d_{_CJK_RANGE}](?:[^\W\d_{_CJK_RANGE}]|['’\-])*|\d+")
+_LINES = re.compile(r"\r\n|\n|\r")
+_ITEM = re.compile(r"^\s*(?:[-*+•·◦‣▪]\s+|\d{1,4}\s*[.)、:：]|\[[ xX✓]?\]|EP?\s?\d+\b|#\d+|\|)")
+_PAIR = re.compile(r"^\s*(?:[^\W\d_]| ){1,16}\s?[:：]\s?(?:[?\-]$|[\w《\"].{0,40}$)")
+_ROW = re.compile(r"\t|\s\|\s|[│┃║]|[┌┐└┘├┤─━═]{2}|\[/?t[rdh]\]|</?t[rdh]>|\S {3,}\S")
+_ENDED = re.compile(r"[.!?。！？…」』”\"')）]\s*$")
+_CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|(?<=……)")
+_URL = re.compile(r"\b[a-z]+://\S+")
+_HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{2,}\b")
 #: Periods in which a text may repeat itself, for the share of periodic characters.
 _PERIODS = 12
 _ODD = regex.compile(r"[�\p{Co}\p{Cn}\p{So}\p{Sk}─-◿]")
-_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
-_PAUSE = regex.compile(r"[,;:，；：、—]")
-_VOWEL = regex.compile(r"[aeiouyäöü]", regex.I)
-_END = regex.compile(r"[.!?。！？…]")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_PAUSE = re.compile(r"[,;:，；：、—]")
+_VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûãõåæø")
+_END = re.compile(r"[.!?。！？…]")
 
 NAMES = (
     "log_chars", "log_words", "mean_word_length", "symbol_share", "digit_share", "odd_share", "cjk_share", "common_share", "capital_share", "lines_ended_share", "item_share", "row_share", "pair_share",
@@ -53,12 +54,17 @@ NAMES = (
 _AT = {n: i for i, n in enumerate(NAMES)}
 
 
+def _is_cjk(c: str) -> bool:
+    """Whether a character is a Chinese or Japanese one (the blocks of ideographs and kana)."""
+    return c >= "\u3005" and (c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\uff66" <= c <= "\uff9f" or "\U00020000" <= c <= "\U0003ffff")
+
+
 def _is_sentence(unit: str) -> bool:
     """Whether a unit reads as a sentence: words held together by common ones, with stops in reach."""
     words = _WORD.findall(unit)
     if not words:
         return False
-    cjk = [w for w in words if _CJK.match(w)]
+    cjk = [w for w in words if w[0] >= "\u3005" and _is_cjk(w[0])]
     if len(cjk) * 2 > len(words):
         glue = sum(c in _GLUE for c in cjk)
         stops = 1 + len(_PAUSE.findall(unit)) + len(_END.findall(unit))
@@ -80,7 +86,7 @@ def _is_row(line: str) -> bool:
 def _periodic_share(text: str) -> float:
     """The share of characters that equal the one some fixed number of places before, for the best number."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return max((float((x[p:] == x[:-p]).mean()) for p in range(1, _PERIODS + 1) if len(x) >= 5 * p and len(x) > 12), default=0.0)
+    return max((np.count_nonzero(x[p:] == x[:-p]) / (len(x) - p) for p in range(1, _PERIODS + 1) if len(x) >= 5 * p and len(x) > 12), default=0.0)
 
 
 def _is_listed(line: str) -> bool:
@@ -99,8 +105,8 @@ def statistics(text: str) -> list[float]:
     dense = max(1, sum(map(len, text.split())))
     words = _WORD.findall(text)
     nw = max(1, len(words))
-    latin = [w for w in words if not _CJK.match(w) and w[0].isalpha()]
-    cjk = [w for w in words if _CJK.match(w)]
+    cjk = [w for w in words if w[0] >= "\u3005" and _is_cjk(w[0])]
+    latin = [w for w in words if w[0].isalpha() and not (w[0] >= "\u3005" and _is_cjk(w[0]))]
     lower = [w.lower() for w in latin]
     lines = [x for x in _LINES.split(text) if x.strip()]
     nl = max(1, len(lines))
@@ -146,7 +152,7 @@ def statistics(text: str) -> list[float]:
         common / max(1, len(latin) + len(cjk)), sum(w[0].isupper() for w in latin) / max(1, len(latin)), sum(bool(_ENDED.search(x)) for x in lines) / nl, sum(bool(_ITEM.match(x)) for x in lines) / nl,
         sum(map(_is_row, lines)) / nl, sum(bool(_PAIR.match(x)) for x in lines) / nl, n / nl, log1p(len(lines)), repeated / total, len(set(lower) | set(cjk)) / nw,
         ends / nw, pauses / nw, nw / (1 + ends + pauses), chars[True] / total, in_list / total, _periodic_share(text), sum(map(len, _URL.findall(text))) / dense, sum(map(len, _HEX.findall(text))) / dense,
-        len(raw) / max(1, len(zlib.compress(raw, 1))), (tops[0][1] if tops else 0) / nw, sum(_VOWEL.search(w) is None for w in latin) / max(1, len(latin)),
+        len(raw) / max(1, len(zlib.compress(raw, 1))), (tops[0][1] if tops else 0) / nw, sum(_VOWELS.isdisjoint(w) for w in lower) / max(1, len(latin)),
     ]
     articles = [i for i, w in enumerate(lower[:-1]) if w in _ARTICLES]
     out.append(sum(lower[i + 1] in _COMMON for i in articles) / max(2, len(articles)))

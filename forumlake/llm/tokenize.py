@@ -26,6 +26,8 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from forumlake.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern (fixed value).
@@ -150,4 +152,4 @@ def encode_documents(spark: SparkSession, documents: DataFrame, tokenizer_dir: s
                 out = pa.array([len(i) for i in ids], pa.int32()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc_id", "n_tokens" if counts_only else "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, schema)
