@@ -151,3 +151,9 @@ def is_empty_topic(state: Column | str, n_posts: Column | str, top: Column | str
 def is_real_author(uid: Column | str, username: Column | str) -> Column:
     """Not the writer that pages without an author have."""
     return (F.coalesce(_col(uid), F.lit(2_147_483_647)) != 0) & (F.coalesce(_col(username), F.lit("_INVALID_")) != "_pseudo_writer")
+
+
+def for_display(html: Column | str, host: str, own_host: str, script: str) -> Column:
+    """A stored page as it is shown: links to the forum's host become links here, a script is added at the end of the head."""
+    here = F.replace(_col(html), F.lit(f"//{host}"), F.lit(f"//{own_host}"))
+    return F.replace(here, F.lit("</head>"), F.lit(f'<script src="{script}"></script></head>'))

@@ -136,3 +136,31 @@ def spot_check_sample(unmasked: DataFrame, wanted: int, seed: int = 0, low: int
     k = min(max(wanted, low), high)
     w = Window.partitionBy("type").orderBy(F.xxhash64("id", F.lit(seed)), "id")
     return unmasked.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("type", "id")
+
+
+# Types whose mask always leaves id 0 clear, so that small holes are visited again.
+REVISITED_TYPES = (8, 10, 21)
+
+
+def hidden_mask(topics: DataFrame) -> DataFrame:
+    """type, id of topics not to visit again: empty ones but redirects, and a sentinel after the greatest id.
+
+    topics: type, id, empty, redirect (booleans).
+    """
+    hidden = topics.where("empty and not redirect").select("type", F.col("id").cast("bigint").alias("id"))
+    ends = topics.groupBy("type").agg((F.max("id") + 1).cast("bigint").alias("id"))
+    mask = hidden.unionByName(ends.select("type", "id")).distinct()
+    return mask.where(~(F.col("type").isin(*REVISITED_TYPES) & (F.col("id") == 0)))
+
+
+def max_ids(*known: DataFrame) -> DataFrame:
+    """The greatest id of each type over several lists (type, id): topic lists, stored topics, file names."""
+    every = known[0].select("type", F.col("id").cast("bigint").alias("id"))
+    for k in known[1:]:
+        every = every.unionByName(k.select("type", F.col("id").cast("bigint").alias("id")))
+    return every.groupBy("type").agg(F.max("id").alias("id"))
+
+
+def to_visit(sample: DataFrame, recent: DataFrame) -> DataFrame:
+    """What a spot check looks at: the sample and the recent holes, each id once."""
+    return sample.select("type", "id").unionByName(recent.select("type", "id")).distinct()

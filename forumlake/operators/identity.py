@@ -84,3 +84,9 @@ def username_ids(wanted: DataFrame, users: DataFrame, hashed: DataFrame) -> Data
     return wanted.select("username").distinct().join(several, "username", "left_anti").join(known, "username", "left").join(hashed, "username", "left").select(
         "username", F.coalesce("top", "uid").alias("uid")
     )
+
+
+def colliding_keys(rows: DataFrame, pairs: DataFrame, keys: list[str], column: str = "uid") -> DataFrame:
+    """Keys that both ids of a pair have: what would come twice after the merge. neg, pos, keys, n."""
+    ids = pairs.select("neg", "pos", F.explode(F.array("neg", "pos")).alias(column))
+    return rows.join(ids, column).groupBy("neg", "pos", *keys).agg(F.count("*").alias("n")).where("n >= 2")

@@ -30,7 +30,7 @@ HASHES = 4
 #: Rows of one delivery that a bucket holds on average.
 BUCKET_ROWS = 4096
 #: Cells of a bucket's first table; each enlargement multiplies by GROW.
-FIRST_CELLS = 2048
+FIRST_CELLS = 1024
 GROW = 4
 ROUNDS = 3
 

@@ -245,6 +245,11 @@ def likes_rev_conflicts(sp: SparkSession, d: str) -> DataFrame:
     return identity.likes_conflicts(_given_twice(sp, d), identity.identity_pairs(_surrogates(sp, d)))
 
 
+@query("colliding_likes", SQL + _PAIRS + _LIKES2 + """ select pr.neg, pr.pos, x.type, x.mid, x.pid, x.value, count(*) as n from l2 x join pr on x.uid in (pr.neg, pr.pos) group by all having count(*) >= 2""")
+def colliding_likes(sp: SparkSession, d: str) -> DataFrame:
+    return identity.colliding_keys(_given_twice(sp, d), identity.identity_pairs(_surrogates(sp, d)), ["type", "mid", "pid", "value"])
+
+
 # -- holes and masks ---------------------------------------------------------
 _IDS = ", i as (select distinct type, cast(id as bigint) as id from ba_topic)"
 _HOLES = _IDS + ", m as (select type, max(id) as top from i group by type), h as (select m.type, r.id from m, lateral (select unnest(range(1, top + 1)) as id) r anti join i on i.type = m.type and i.id = r.id)"
@@ -345,6 +350,23 @@ def spot_check_sample(sp: SparkSession, d: str) -> DataFrame:
     return holes.spot_check_sample(holes.holes(_ids(sp, d)), 35, seed=7)
 
 
+@query("hidden_mask", SQL + """, e as (select type, cast(id as bigint) as id, (coalesce(state, 0) & 97) <> 0 or top_post_pid is null or top_post_pid in (0, -1) as empty, (coalesce(state, 0) & 32) = 32 as redirect from t)
+    select type, id from e where empty and not redirect and not (type in (8, 10, 21) and id = 0) union select type, max(id) + 1 from e group by type""")
+def hidden_mask(sp: SparkSession, d: str) -> DataFrame:
+    t = M.topics(sp, d)
+    return holes.hidden_mask(t.select("type", "id", S.is_empty_topic("state", F.lit(1), "top_post_pid").alias("empty"), F.coalesce(S.has_flag("state", "BLOG_REDIRECT"), F.lit(False)).alias("redirect")))
+
+
+@query("known_max_ids", """select type, max(id) as id from (select type, cast(id as bigint) as id from ba_topic union all select type, mid from ba_post) group by type""")
+def known_max_ids(sp: SparkSession, d: str) -> DataFrame:
+    return holes.max_ids(table(sp, d, "ba_topic"), table(sp, d, "ba_post").select("type", F.col("mid").alias("id")))
+
+
+@query("spot_check_list")
+def spot_check_list(sp: SparkSession, d: str) -> DataFrame:
+    return holes.to_visit(spot_check_sample(sp, d), recent_window_holes(sp, d))
+
+
 # -- merges ------------------------------------------------------------------
 # versions: the deliveries of posts, numbered by delivery; of rows repeated in one, one
 _PV = """with v as (select type, id, mid, snap_ts as seq, max(uid) as uid, max(dateline) as dateline, max(state) as state, max(sid) as sid from ba_post_snapshot group by 1, 2, 3, 4)"""
@@ -611,3 +633,8 @@ def stream_ingest(sp: SparkSession, d: str) -> DataFrame:
     once = lambda v: v.groupBy("type", "id", "mid", "seq").agg(*[F.max(c).alias(c) for c in ("uid", "dateline", "state", "sid")])
     stream.ingest(source, target, lambda v: merge.upsert_posts(once(v)), scratch(sp, "ingest-checkpoint"))
     return target.read()
+
+
+@query("user_stats_nested")
+def user_stats_nested(sp: SparkSession, d: str) -> DataFrame:
+    return user_stats.user_stats(M.posts(sp, d), M.topics(sp, d), M.likes_received(sp, d), M.likes_given(sp, d), M.users(sp, d), M.spaces(sp, d), AS_OF)

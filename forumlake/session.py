@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,24 @@ def build_session(app: str = "forumlake", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_forumlake_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.is_dir():  # not when the package itself runs from a zip file
+        path = Path(tempfile.mkdtemp(prefix="forumlake-")) / f"forumlake-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, Path(home.name) / f.relative_to(home))
+        sc.addPyFile(str(path))
+    sc._forumlake_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of an archive root."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
