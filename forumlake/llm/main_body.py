@@ -283,7 +283,7 @@ def body_lines(content: str | None, title: str | None, weights: dict[str, float]
     if h < 0:  # without a known title: the line above the region's first post
         first = next((m for m in moments if start <= m <= end), 0)
         h = next((i for i in range(first - 1, -1, -1) if page.lines[i].text), -1)
-        if h < 0 or _BARS.search(page.lines[h].text) or page.lines[h].moment:
+        if h < 0 or _BARS.search(page.lines[h].text) or page.lines[h].moment or scores[h] <= (0 if heading else MENU):
             return []
     block = _block(page, h, moments)
     found = _in_blocks(page, h, block, moments, weights) if block >= 0 else _in_text(page, h, end, scores)
