@@ -142,7 +142,7 @@ def reply_briefs(sp: SparkSession, d: str) -> DataFrame:
 
 
 _GIVEN = f"""
-, g as (select p.type, p.mid, p.id as pid, u.username, lr.value as face_key, t.title, p.dateline, s.display_name as space_display_name,
+, g as (select p.type, p.mid, cast(p.id as bigint) as pid, u.username, lr.value as face_key, t.title, p.dateline, s.display_name as space_display_name,
         rank() over (partition by p.type, p.mid, lr.uid order by p.dateline desc nulls last, p.id desc) as rank_like_rev_asc
         from u join lr on lr.uid = u.id join p on lr.type = p.type and lr.mid = p.mid and lr.pid = p.id join t on p.type = t.type and p.mid = t.id
         left join s on t.type = s.type and t.sid = s.sid where lr.total <> 0 and p.state <> 1 and p.state <> 16 and t.state <> 1),
@@ -601,12 +601,12 @@ def document_posts(sp: SparkSession, d: str) -> DataFrame:
     return q.select("type", "id", "mid", F.col("user.id").alias("uid"), "dateline", F.col("state").cast("int").alias("state"))
 
 
-@query("document_topic_state", _DOCS + " select type, topic_id as id, bit_or(coalesce(state, 0) & 14) as state from p group by 1, 2")
+@query("document_topic_state", _DOCS + " select type, topic_id as id, cast(bit_or(coalesce(state, 0) & 14) as bigint) as state from p group by 1, 2")
 def document_topic_state(sp: SparkSession, d: str) -> DataFrame:
     return documents.topic_state(_topic_documents(sp, d))
 
 
-@query("document_last_post", _DOCS + " select type, topic_id as id, max(id) as last_post_pid from p group by 1, 2")
+@query("document_last_post", _DOCS + " select type, topic_id as id, cast(max(id) as bigint) as last_post_pid from p group by 1, 2")
 def document_last_post(sp: SparkSession, d: str) -> DataFrame:
     return documents.topic_rows(_topic_documents(sp, d)).groupBy("type", "id").agg(F.max("last_post_pid").alias("last_post_pid")).where("last_post_pid is not null")
 
