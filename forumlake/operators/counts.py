@@ -1,7 +1,7 @@
 """Counts of posts and topics per user, space and state, over all time and trailing windows.
 
-Rows are counted by uid before they meet users or spaces (the reference data joins first),
-so a join carries one row per uid and state and no user's share of the rows matters.
+Rows are counted by uid before they meet users or spaces, so a join carries one row per uid
+and state and no user's share of the rows matters.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Per-user statistics folded into one result: what the forum's user pages show.
 
-Two scans (posts, topics) with conditional counts take the place of the reference's dozen
-separate counts; reactions add two more. Joins meet per-user rows only.
+Two scans (posts, topics) with conditional counts take the place of a dozen separate counts;
+reactions add two more. Joins meet per-user rows only.
 """
 
 from __future__ import annotations

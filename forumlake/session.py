@@ -108,9 +108,9 @@ def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores, for costly work per row, where its files give fewer partitions than there are cores.
+    """df in several even partitions per core, for costly work per row, where its files give too few.
 
     Large inputs come in enough partitions and are left as they are, so this shuffles small ones only.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(4 * cores, *keys) if df.rdd.getNumPartitions() < 3 * cores else df
