@@ -58,17 +58,20 @@ class FileTable:
         return n[-1] if n else 0
 
     def state(self) -> dict:
-        """The last version that was finished: its number and the partitions without repeated records."""
-        for n in reversed(self._numbers()):
-            fs, p = hadoop_path(self.spark, f"{self.versions}/{n:08d}.json")
-            stream = fs.open(p)
-            try:
-                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            if text:
-                return json.loads(text)
-        return {"version": 0, "clean": []}
+        """The last version: its number and the partitions without repeated records.
+
+        While a writer is at work, or if it died, its version is empty: no partition counts as clean then.
+        """
+        n = self.version()
+        if not n:
+            return {"version": 0, "clean": []}
+        fs, p = hadoop_path(self.spark, f"{self.versions}/{n:08d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text else {"version": n, "clean": []}
 
     def _claim(self, base: int) -> int:
         """Take the number after base, for this writer alone."""

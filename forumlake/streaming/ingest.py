@@ -1,8 +1,7 @@
 """Incremental ingest: new deliveries are folded into a stored table, batch by batch.
 
 Each micro-batch is merged with the table by the same rules as in batch (they are
-idempotent), and written as a new snapshot folder; a small pointer file names the last one
-that is complete. If a batch is run again after a failure, it merges to the same rows, so
+idempotent), and written as a new snapshot folder. If a batch is run again after a failure, it merges to the same rows, so
 delivery at least once gives the effect of exactly once. The stream's checkpoint holds the
 offsets.
 """
@@ -18,33 +17,41 @@ from forumlake.session import hadoop_path
 
 
 class SnapshotTable:
-    """A table as a series of Parquet folders, the last complete one named by a pointer file."""
+    """A table as numbered Parquet folders; the last one whose job has committed is the table.
+
+    A job's success marker is written when all of its files are in place, so a writer that dies
+    leaves the folder before it in force. One writer at a time.
+    """
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def current(self) -> str | None:
-        fs, p = hadoop_path(self.spark, f"{self.path}/CURRENT")
+    def _numbers(self) -> list[int]:
+        fs, p = hadoop_path(self.spark, self.path)
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+            return []
+        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v-"))
+
+    def current(self) -> int | None:
+        for n in reversed(self._numbers()):
+            fs, p = hadoop_path(self.spark, f"{self.path}/v-{n:08d}/_SUCCESS")
+            if fs.exists(p):
+                return n
+        return None
 
     def read(self) -> DataFrame:
         at = self.current()
-        return self.spark.createDataFrame([], self.schema) if at is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{at}")
-
-    def replace(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        fs, p = hadoop_path(self.spark, f"{self.path}/CURRENT.new")
-        out = fs.create(p, True)
-        try:
-            out.write(bytearray(name.encode()))
-        finally:
-            out.close()
-        _, to = hadoop_path(self.spark, f"{self.path}/CURRENT")
-        fs.delete(to, False)
-        if not fs.rename(p, to):
-            raise RuntimeError("the pointer couldn't be moved")
+        return self.spark.createDataFrame([], self.schema) if at is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v-{at:08d}")
+
+    def replace(self, rows: DataFrame) -> None:
+        """Write rows, which may be made from the table itself, as the next folder; old ones are removed."""
+        n = max(self._numbers(), default=0) + 1
+        rows.write.parquet(f"{self.path}/v-{n:08d}")
+        for old in [x for x in self._numbers() if x < n][: -self.KEEP + 1 or None]:
+            fs, p = hadoop_path(self.spark, f"{self.path}/v-{old:08d}")
+            fs.delete(p, True)
 
 
 def merge_batch(target: SnapshotTable, merge: Callable[[DataFrame], DataFrame], seq: str = "seq") -> Callable[[DataFrame, int], None]:
@@ -54,7 +61,7 @@ def merge_batch(target: SnapshotTable, merge: Callable[[DataFrame], DataFrame],
         stored = target.read().withColumn(seq, F.lit(-1).cast("bigint"))
         versions = stored.unionByName(batch.select(*stored.columns))
         cols = [c for c in stored.columns if c != seq]
-        target.replace(merge(versions).select(*cols), f"v-{epoch:08d}")
+        target.replace(merge(versions).select(*cols))
 
     return run
 

@@ -253,6 +253,16 @@ def test_compaction_conflicts(spark, tmp_path):
     assert t.version() == base and t.read().count() == 21
 
 
+def test_dead_writer_leaves_nothing_clean(spark, tmp_path):
+    t = file_table(spark, tmp_path)
+    add(spark, t, [(i, i, 0) for i in range(20)])
+    t.compact()
+    assert t.state()["clean"] == ["part=0"]
+    t._claim(t.version())  # a writer that appends, then dies before it says so
+    spark.createDataFrame([(1, 1, 0)], "k int, v int, part int").write.mode("append").partitionBy("part").parquet(t.data)
+    assert t.state()["clean"] == [] and t.read().count() == 20
+
+
 def test_compaction_empty(spark, tmp_path):
     t = file_table(spark, tmp_path)
     assert t.compact()["rows"] == 0 and t.read().count() == 0

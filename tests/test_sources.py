@@ -130,6 +130,8 @@ def test_stream_ingest(spark, tmp_path):
     run()
     want = [(8, 1, 1, 5, 100, 1, 7), (8, 2, 1, 6, 200, 1, 7)]
     assert sorted(map(tuple, target.read().collect())) == want
+    (tmp_path / "t" / "v-00000099").mkdir()  # a writer that died
+    assert sorted(map(tuple, target.read().collect())) == want
     stream.reset(spark, str(tmp_path / "c"))
     run()  # all deliveries again: the same rows
     assert sorted(map(tuple, target.read().collect())) == want
