@@ -19,7 +19,8 @@ from forumlake.sources.topic_files import topic_records
 #: Topic ids per partition directory of the compacted table.
 SLOT = 1_000_000
 LAST_DAY = dt.date(2025, 6, 23)
-HEAVY_SHARE = 0.025
+#: A key is heavy from one in so many posts on (2.5 %), compared in whole numbers.
+HEAVY_ONE_IN = 40
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p6_keys(spark: SparkSession, root: str) -> DataFrame:
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     keys = p6_keys(spark, root)
     whole = keys.where("field = 'all'").select("n_posts").scalar()
-    return keys.where((F.col("field") != "all") & (F.col("n_posts") >= F.ceil(F.lit(HEAVY_SHARE) * whole))).select("field", "type", "key_id")
+    return keys.where((F.col("field") != "all") & (F.col("n_posts") * HEAVY_ONE_IN >= whole)).select("field", "type", "key_id")
 
 
 def p6_pairs(spark: SparkSession, root: str) -> DataFrame:
