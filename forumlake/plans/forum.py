@@ -317,6 +317,16 @@ def mask_merge(sp: SparkSession, d: str) -> DataFrame:
     return holes.word_ids(holes.merge_masks(old, new, seen))
 
 
+@query("mask_merge_whole", SQL + _HOLES + " select type, id from h where case when id % 5 <> 0 then id % 3 = 0 else id % 2 = 0 end")
+def mask_merge_whole(sp: SparkSession, d: str) -> DataFrame:
+    """As mask_merge, with a visited mask that reaches to each type's greatest id, so that no hole is beyond it."""
+    i = _ids(sp, d)
+    h = holes.holes(i)
+    tops = i.groupBy("type").agg(F.max("id").alias("id"))
+    old, new = (holes.words(h.where(c)) for c in ("id % 2 = 0", "id % 3 = 0"))
+    return holes.word_ids(holes.merge_masks(old, new, holes.words(h.where("id % 5 <> 0").unionByName(tops))))
+
+
 @query("recent_window_holes", SQL + _IDS + """, c as (select type, count(*) as n, max(id) as top from i where type not in (11, 200, 300) group by type),
     w as (select type, n, unnest(range(top - least(100, n * 6 // 7) + 1, top + 1)) as id from c),
     a as (select w.*, w.id - row_number() over (partition by w.type order by w.id) as k from w anti join i on i.type = w.type and i.id = w.id),

@@ -194,3 +194,13 @@ def test_user_stats_nested(spark, sf):
     some = m["users"].select("username").where("username is not null").orderBy("username").limit(20)
     out = user_stats(m["posts"], m["topics"], m["likes_received"], m["likes_given"], m["users"], m["spaces"], model.AS_OF, some).collect()
     assert out and all(len(r.replies or []) <= 10 and len(r.spaces or []) <= 5 for r in out) and len({r.username for r in out}) <= 20
+
+
+def test_mask_merge_whole(spark, tmp_path):
+    from forumlake.plans import forum
+
+    spark.createDataFrame([(8, 1), (8, 9000), (10, 4), (10, 130)], "type int, id int").write.parquet(str(tmp_path / "ba_topic.parquet"))
+    held = {8: {1, 9000}, 10: {4, 130}}
+    want = [(t, i) for t, s in held.items() for i in range(1, max(s)) if i not in s and (i % 3 == 0 if i % 5 else i % 2 == 0)]
+    assert (8, 8997) in want  # far above the 4,000 at which mask_merge ends its visited mask
+    assert sorted(map(tuple, forum.QUERIES["mask_merge_whole"](spark, str(tmp_path)).collect())) == sorted(want)
