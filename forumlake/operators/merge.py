@@ -54,6 +54,21 @@ def upsert_posts(versions: DataFrame, seq: str = "seq") -> DataFrame:
     return fold(versions.withColumn("sid", F.coalesce("sid", F.lit(0))), ["type", "id", "mid"], seq, POST_RULES).drop("__fl_versions")
 
 
+def fold_post_states(states: DataFrame) -> DataFrame:
+    """One state per post, by the rules of `upsert_posts`, whatever the order in which states are folded.
+
+    Of rows with the same delivery number the greatest value of each column stands. An unknown sid
+    stays null here, as a row of the same delivery may still bring it; readers see 0.
+    """
+
+    def at(seq: str, order: Column, c: str) -> Column:
+        return F.max(F.when(F.col(seq).isNotNull(), F.struct(order.alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+
+    first = [at("first_seq", F.bitwise_not("first_seq"), c) for c, how in POST_RULES.items() if how == FIRST]
+    last = [at("last_seq", F.col("last_seq"), c) for c, how in POST_RULES.items() if how == LAST]
+    return states.groupBy("type", "id", "mid").agg(*first, *last, F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+
+
 def upsert_naming(versions: DataFrame, seq: str = "seq") -> DataFrame:
     """The first name, the last display name."""
     return fold(versions, ["type", "sid"], seq, NAMING_RULES).drop("__fl_versions")

@@ -635,14 +635,14 @@ def parse_topics(sp: SparkSession, d: str) -> DataFrame:
     select type, id, mid, arg_min(struct_pack(x := uid), seq).x as uid, arg_min(struct_pack(x := dateline), seq).x as dateline,
     arg_max(struct_pack(x := state), seq).x as state, arg_max(struct_pack(x := coalesce(sid, 0)), seq).x as sid from v group by 1, 2, 3""")
 def stream_ingest(sp: SparkSession, d: str) -> DataFrame:
-    """Deliveries of posts as a stream, folded into a stored table; one delivery's repeated rows agree."""
+    """Deliveries of posts as a stream, folded into a stored table in small batches, in whatever order files come."""
     schema = "snap_ts bigint, type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint"
     path = f"{d}/ba_post_snapshot.parquet"
-    source = stream.parquet_stream(sp, path, schema, 1_000).withColumnRenamed("snap_ts", "seq")
-    target = stream.SnapshotTable(sp, scratch(sp, "ingest"), "type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint")
-    once = lambda v: v.groupBy("type", "id", "mid", "seq").agg(*[F.max(c).alias(c) for c in ("uid", "dateline", "state", "sid")])
-    stream.ingest(source, target, lambda v: merge.upsert_posts(once(v)), scratch(sp, "ingest-checkpoint"))
-    return target.read()
+    source = stream.parquet_stream(sp, path, schema).withColumnRenamed("snap_ts", "seq")
+    stored = "type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint, first_seq bigint, last_seq bigint"
+    target = stream.SnapshotTable(sp, scratch(sp, "ingest"), stored)
+    stream.ingest(source, target, merge.fold_post_states, scratch(sp, "ingest-checkpoint"))
+    return target.read().withColumn("sid", F.coalesce("sid", F.lit(0))).drop("first_seq", "last_seq")
 
 
 @query("user_stats_nested")

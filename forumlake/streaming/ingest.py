@@ -1,7 +1,7 @@
 """Incremental ingest: new deliveries are folded into a stored table, batch by batch.
 
 Each micro-batch is merged with the table by the same rules as in batch (they are
-idempotent), and written as a new snapshot folder. If a batch is run again after a failure, it merges to the same rows, so
+idempotent; tables of posts keep delivery numbers, so order doesn't matter), and written as a new snapshot folder. If a batch is run again after a failure, it merges to the same rows, so
 delivery at least once gives the effect of exactly once. The stream's checkpoint holds the
 offsets.
 """
@@ -55,10 +55,21 @@ class SnapshotTable:
 
 
 def merge_batch(target: SnapshotTable, merge: Callable[[DataFrame], DataFrame], seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: stored rows count as versions before all of the batch's."""
+    """A foreachBatch function: stored rows and the batch's are merged.
+
+    A table whose schema has first_seq and last_seq keeps the delivery numbers of its rows; merge
+    folds such states (`merge.fold_post_states`), and deliveries may come in any order. In another
+    table stored rows count as versions before all of the batch's, which is right only where
+    deliveries come in order.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        stored = target.read().withColumn(seq, F.lit(-1).cast("bigint"))
+        stored = target.read()
+        if {"first_seq", "last_seq"} <= set(stored.columns):
+            fresh = batch.withColumn("first_seq", F.col(seq)).withColumn("last_seq", F.col(seq))
+            target.replace(merge(stored.unionByName(fresh.select(*stored.columns))))
+            return
+        stored = stored.withColumn(seq, F.lit(-1).cast("bigint"))
         versions = stored.unionByName(batch.select(*stored.columns))
         cols = [c for c in stored.columns if c != seq]
         target.replace(merge(versions).select(*cols))

@@ -135,3 +135,27 @@ def test_stream_ingest(spark, tmp_path):
     stream.reset(spark, str(tmp_path / "c"))
     run()  # all deliveries again: the same rows
     assert sorted(map(tuple, target.read().collect())) == want
+
+
+def test_stream_ingest_in_batches(spark, tmp_path, monkeypatch):
+    """More files than a batch takes, the deliveries in no order across them: the same as the SQL over all."""
+    import os
+
+    from forumlake.plans import forum
+    from tests.oracle import assert_same, connect
+
+    src = tmp_path / "in" / "ba_post_snapshot.parquet"
+    src.mkdir(parents=True)
+    schema = "snap_ts bigint, type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint"
+    deliveries = [7, 3, 9, 1, 8, 2, 6, 4, 5, 0, 9, 0]  # the last two are split over two files, and so over two batches
+    for k, n in enumerate(deliveries):
+        rows = [(n, 8, i, 1, None if n == 1 else 10 * n + i, 100 + n, n % 3, None if i == 2 or k == 2 else n) for i in range(1, 4) if i < 3 or n > 2]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "one" / str(k)))
+        (part,) = (tmp_path / "one" / str(k)).glob("*.parquet")
+        part.rename(src / f"part-{k:05d}.parquet")
+        os.utime(src / f"part-{k:05d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    batches = []
+    replace = stream.SnapshotTable.replace
+    monkeypatch.setattr(stream.SnapshotTable, "replace", lambda self, rows: (batches.append(1), replace(self, rows))[1])
+    assert assert_same(spark, connect(str(tmp_path / "in")), str(tmp_path / "in"), forum.QUERIES["stream_ingest"], forum.ORACLES["stream_ingest"]) == 3
+    assert len(batches) > 1
