@@ -5,10 +5,11 @@ odds of lying inside the body, counted over a bounded sample of pages whose mark
 them: a heading and the dated posts below it in one enclosing block. On the whole words score
 positive and tags negative; words of menus and notices are negative too. A linear scan finds
 the contiguous lines with the greatest sum (the maximum-scoring subsequence), on any page,
-with or without tags. What follows only checks the region's lines exactly: they are
-completed to the enclosing block around heading and posts, or on pages without blocks to the
-end of the last post, and lines that show no text of a post (author and date, floor numbers,
-signatures, buttons, adverts) are left out.
+with or without tags. What follows extends and trims the region: heading and dated posts of
+the enclosing block are taken whole, wherever the region ends, undated text of the block only
+inside the region, and nothing outside the block; on pages without blocks the region is
+completed to the end of the last post. Lines that show no text of a post (author and date,
+floor numbers, signatures, buttons, adverts) are left out.
 
 Distribution: no shuffle of pages (but where they come in fewer partitions than there are cores). Counting the sample is one small aggregation by token, and
 the table of weights, at most MOST_WEIGHTS rows, goes to the tasks; each page is read in one
@@ -231,8 +232,12 @@ def signature_classes(uses: Counter[tuple[str, str]]) -> dict[str, bool]:
     return {c: uses[c, "before"] == 0 and 2 * uses[c, "after"] >= n for (c, kind), n in uses.items() if kind == "all"}
 
 
-def _in_blocks(page: Page, heading: int, block: int, moments: list[int], weights: dict[str, float]) -> list[int]:
-    """Lines of a body in a block: the heading, and the text of posts without their signatures."""
+def _in_blocks(page: Page, heading: int, block: int, moments: list[int], weights: dict[str, float], region: tuple[int, int], scores: list[float]) -> list[int]:
+    """Lines of a body in a block: the heading, the text of dated posts and the region's other text, without signatures.
+
+    Dated posts are taken whole, also where the region ends before them; what is dated by no line
+    counts only inside the region, and there unless it scores as a menu.
+    """
     posts = _posts(page, heading, block, moments)
     own = signature_classes(_class_uses(page, posts))
 
@@ -240,7 +245,15 @@ def _in_blocks(page: Page, heading: int, block: int, moments: list[int], weights
         c = page.elements[e].cls if e != post else ""
         return bool(c) and (weights["sign:" + c] > 0 if "sign:" + c in weights else own.get(c, False))
 
-    return [heading, *(i for post, lines in posts.items() for i, e in lines if not signed(e, post))]
+    found = [heading, *(i for post, lines in posts.items() for i, e in lines if not signed(e, post))]
+    for i in range(max(region[0], heading + 1), region[1] + 1):
+        x = page.lines[i]
+        path = page.path(x.at)
+        if x.text and block in path and scores[i] > MENU and not _not_post_text(x) and not _is_sign(page, x, block):
+            post = path[max(0, path.index(block) - 1)]
+            if post not in posts and not signed(x.at, post):
+                found.append(i)
+    return found
 
 
 def _in_text(page: Page, heading: int, end: int, scores: list[float]) -> list[int]:
@@ -286,7 +299,7 @@ def body_lines(content: str | None, title: str | None, weights: dict[str, float]
         if h < 0 or _BARS.search(page.lines[h].text) or page.lines[h].moment or scores[h] <= (0 if heading else MENU):
             return []
     block = _block(page, h, moments)
-    found = _in_blocks(page, h, block, moments, weights) if block >= 0 else _in_text(page, h, end, scores)
+    found = _in_blocks(page, h, block, moments, weights, (start, end), scores) if block >= 0 else _in_text(page, h, end, scores)
     return [i + 1 for i in sorted(set(found))]
 
 

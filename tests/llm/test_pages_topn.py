@@ -143,3 +143,8 @@ def test_queries_of_the_subpackage(spark, sf):
             assert assert_same(spark, con, sf, f, ORACLES[name]) > 0
         else:
             assert f(spark, sf).count() > 0
+
+
+def test_undated_post_inside_the_region(weights):
+    undated = SEMANTIC.replace("<div>Sponsored: reprints this week #5</div>", "<article><p>I think that the ending is good and worth it.</p></article>")
+    assert body_lines(undated, "Heading", weights) == [5, 8, 9, 10, 14, 17]
