@@ -6,8 +6,8 @@ known share, so that there are labelled cases near the middle. Trees fitted on t
 of all these learn to judge; their scores become probabilities on texts checked by hand. The
 model then reads every document.
 
-Distribution: no shuffle. The sample is chosen by a hash of doc_id with a threshold from the
-row count, so choosing it needs neither a sort nor a text; what the driver gets is numbers,
+Distribution: only the sample is shuffled, to be put in one fixed order. It is chosen by a hash of
+doc_id with a threshold from the row count, so choosing it needs neither a sort nor a text; what the driver gets is numbers,
 at most MOST_SAMPLED rows of them. The fitted model is a few kilobytes. Statistics and
 scores are made in one pass of Arrow batches over whole texts.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlake.llm import boosting
@@ -60,34 +60,55 @@ def put_together(prose: str, junk: str, share: float, most_prose: bool, glue: st
     return cut + glue + much if len(much) % 2 else much + glue + cut
 
 
-def training_rows(documents: DataFrame) -> DataFrame:
-    """stats, label of documents the rules are sure of, and of texts put together from neighbours among them."""
+def _labelled(documents: DataFrame) -> DataFrame:
+    """doc_id, text (null where it is too short or long to be put together), stats, label of documents the rules are sure of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple[list[float], int]] = []
-            last: dict[int, str] = {}
-            for t in b.column(1).to_pylist():
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if _is_blank(t):
                     continue
                 s = statistics(t)
                 label = weak_label(s)
-                if label is None:
-                    continue
-                rows.append((s, label))
-                other = last.get(1 - label)
-                if other and 60 < len(t) < 20_000:
+                if label is not None:
+                    rows.append((d, t if 60 < len(t) < 20_000 else None, s, label))
+            if rows:
+                d, t, s, y = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.string()), pa.array(s, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["doc_id", "text", "stats", "label"])
+
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, text string, stats array<double>, label int")
+
+
+def training_rows(documents: DataFrame) -> DataFrame:
+    """place, stats, label of documents the rules are sure of, and of texts put together from neighbours among them.
+
+    Neighbours are those in the order of a hash of doc_id over all documents given, which are a
+    bounded sample: the same documents give the same rows however they are partitioned. Each is
+    put together with the last one of the other label before it. place numbers the documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, list[float], int]] = []
+            for k, t, other, s, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows.append((k, s, label))
+                if t is not None and other is not None:
                     pair = (t, other) if label == 0 else (other, t)
-                    k = len(rows)
                     for most_prose in (True, False):
                         text = put_together(*pair, SHARES[k % len(SHARES)], most_prose, ("\n", " ", "\n\n")[k % 3])
-                        rows.append((statistics(text), 0 if most_prose else 1))
-                if 60 < len(t) < 20_000:
-                    last[label] = t
+                        rows.append((k, statistics(text), 0 if most_prose else 1))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())], names=["stats", "label"])
+                k, s, y = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["place", "stats", "label"])
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "stats array<double>, label int")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "stats")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("label") == k, F.col("text")), ignorenulls=True).over(before) for k in (0, 1)]
+    other = F.when(F.col("label") == 1, last[0]).otherwise(last[1])
+    near = _labelled(documents).select(F.row_number().over(order).alias("place"), "text", other.alias("other"), "stats", "label")
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return near.repartition(4 * cores, "place").mapInArrow(run, "place int, stats array<double>, label int")
 
 
 def fit_classifier(documents: DataFrame, sample: int = SAMPLE) -> boosting.Trees:
@@ -99,7 +120,7 @@ def fit_classifier(documents: DataFrame, sample: int = SAMPLE) -> boosting.Trees
     grid = 1 << 20
     n = documents.count()
     part = grid if n <= sample else max(1, grid * sample // n)
-    rows = training_rows(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < part)).limit(MOST_SAMPLED).collect()
+    rows = training_rows(documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < part)).orderBy("place", "label", "stats").limit(MOST_SAMPLED).collect()
     rows = sorted((list(r["stats"]), r["label"]) for r in rows)
     x, y = [r[0] for r in rows], [r[1] for r in rows]
     hx, hy = [statistics(t) for t in (*PROSE, *JUNK)], [0] * len(PROSE) + [1] * len(JUNK)

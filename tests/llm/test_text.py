@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from forumlake.llm import boosting
 from forumlake.llm.holdout import JUNK, PROSE
 from forumlake.llm.packing import pack, pack_shard, sum_of_squares
-from forumlake.llm.quality import fit_classifier, junk_probability, named_statistics, put_together
+from forumlake.llm.quality import fit_classifier, junk_probability, named_statistics, put_together, training_rows
 from forumlake.llm.statistics import NAMES, statistics, weak_label
 from forumlake.llm.tokenize import TOKENIZER_DIR, Encoder, byte_characters, encode_documents, load_model
 
@@ -184,3 +184,16 @@ def test_classifier_held_out(spark, sf):
     sure = [(s, y) for s in (statistics(r.text) for r in other if r.text.strip()) if (y := weak_label(s)) is not None]
     p = model.probability(np.array([s for s, _ in sure]))
     assert np.mean((p >= 0.5) == np.array([y for _, y in sure])) >= 0.95
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    texts = [*PROSE, *JUNK]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    few, many = (sorted((tuple(r.stats), r.label) for r in training_rows(df.repartition(n)).collect()) for n in (1, 64))
+    labels = {i: weak_label(statistics(t)) for i, t in enumerate(texts)}
+    seen, mixed = set(), 0
+    for r in df.orderBy(F.xxhash64("doc_id")).collect():
+        if labels[r.doc_id] is not None and 60 < len(r.text) < 20_000:
+            mixed += 2 * (1 - labels[r.doc_id] in seen)
+            seen.add(labels[r.doc_id])
+    assert mixed and few == many and len(few) == sum(y is not None for y in labels.values()) + mixed
