@@ -1,11 +1,12 @@
-"""Per-key results where a few keys hold most rows: eager aggregation through joins.
+"""Per-key results where a few keys hold most rows: pre-aggregation, and eager aggregation through joins.
 
-Both inputs of a join are reduced to one compact state per join key (and group
-column) before they meet; the join pairs states, not rows, and the states are
+`eager_join_aggregate`: both inputs of a join are reduced to one compact state per join key (and
+group column) before they meet; the join pairs states, not rows, and the states are
 combined algebraically: counts multiply, a sum is scaled by the other side's count,
 minimum and maximum are untouched. The roll-up to the wanted keys runs on joined
-states. Partial aggregation happens on the map side, so however many rows a key
-holds, each task sends one state for it.
+states. `key_activity` needs no such join: it rolls up states of posts alone. In both, partial
+aggregation happens on the map side, so however many rows a key holds, each task sends one state
+for it.
 """
 
 from __future__ import annotations
@@ -64,8 +65,10 @@ def key_activity(posts: DataFrame, topics: DataFrame) -> DataFrame:
     1. Copies of a post are removed by its key (type, id, mid), which no hot uid or topic
        skews. Copies agree in uid and second, so any aggregate picks the same value.
     2. Partial aggregation to states by (type, mid, uid), in the same stage.
-    3. The states of posts meet the states of topics, joined by (type, mid).
-    4. The roll-up by uid, by topic and of everything is one exchange of joined states.
+    3. The roll-up by uid is made of these states, unjoined, and so is the one by topic, from which
+       the whole is summed.
+    4. Topic states meet distinct topics, joined by (type, mid), for in_topics alone; the
+       multiplier is always 1, as a post counts once however many rows its topic has.
     """
     one = posts.groupBy("type", "id", "mid").agg(F.max("uid").alias("uid"), F.max("sec").alias("sec"))
     state = compact_states(one, ["type", "mid", "uid"], "sec")
