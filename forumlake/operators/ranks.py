@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlake.operators.counts import has
 from forumlake.schema import DAY
 
 YEARS3 = 3 * 365 * DAY
@@ -93,7 +92,3 @@ def like_briefs(likes: DataFrame, top: int = 10) -> DataFrame:
     )  # at most five ranks per user and topic
     w = Window.partitionBy("type", "username").orderBy(F.col("dateline").desc_nulls_last(), "mid")
     return by.where("title is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n")
-
-
-def normal_topic(state: str = "state"):
-    return ~has("DELETED") if state == "state" else F.col(state).bitwiseAND(1) == 0

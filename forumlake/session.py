@@ -52,28 +52,24 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where that is unset (tests, a laptop) a private temporary folder is made and
-    used for the rest of the session; on a cluster the setting is always read.
+    Where neither is set, a session whose master is local (tests, a laptop) makes a private temporary
+    folder and uses it for the rest of the session; any other session has no folder that all
+    executors see, which is an error.
     """
-    got = spark.conf.get(CHECKPOINT_KEY, None)
+    sc = spark.sparkContext
+    got = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if got:
         return got.rstrip("/")
-    sc = spark.sparkContext
     own = getattr(sc, "_forumlake_scratch", None)
     if own is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         own = sc._forumlake_scratch = tempfile.mkdtemp(prefix="forumlake-")
     return own
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable, with the shared folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-
-
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of the JVM for a path of any scheme."""
     jvm = spark._jvm
@@ -107,10 +103,20 @@ def materialise(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size, from file sizes; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Up to so many bytes (as in files) are moved to spread costly work over the cores.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in several even partitions per core, for costly work per row, where its files give too few.
+    """df in several even partitions per core, for costly work per row, if it has at most SPREAD_BYTES.
 
-    Large inputs come in enough partitions and are left as they are, so this shuffles small ones only.
+    A file that is one row group is one task, however costly its rows. The exchange is bounded by
+    SPREAD_BYTES on a cluster of any size; a larger input is left as its scan splits it, without an
+    exchange. Rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores, *keys) if df.rdd.getNumPartitions() < 3 * cores else df
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys) if plan_bytes(df) <= SPREAD_BYTES else df
