@@ -1,59 +1,48 @@
 """The main body of pages: the contiguous region with the greatest score.
 
-Every line gets a score, the sum of the weights of what it is made of. Weights are log
-odds of lying inside the body, counted over a bounded sample of pages whose markup labels
-them: a heading and the dated posts below it in one enclosing block. On the whole words score
-positive and tags negative; words of menus and notices are negative too. A linear scan finds
-the contiguous lines with the greatest sum (the maximum-scoring subsequence), on any page,
-with or without tags. What follows extends and trims the region: heading and dated posts of
-the enclosing block are taken whole, wherever the region ends, undated text of the block only
-inside the region, and nothing outside the block; on pages without blocks the region is
-completed to the end of the last post. Lines that show no text of a post (author and date,
-floor numbers, signatures, buttons, adverts) are left out.
-
-Distribution: no shuffle of pages (but where they come in fewer partitions than there are cores). Counting the sample is one small aggregation by token, and
-the table of weights, at most MOST_WEIGHTS rows, goes to the tasks; each page is read in one
-pass of its own.
+Every line gets a score, the sum of the weights of the tokens it is made of: words score mostly
+positive, tags mostly negative, and so do the words of menus and notices. A linear scan finds the
+contiguous lines with the greatest sum (the maximum-scoring subsequence), on any page, with or
+without tags. The region's lines are the body. Inside it lie lines that show no text of a post
+(author and date, floor numbers, signatures, buttons, adverts); the same tokens score these against
+text, and they are left out. Nothing outside the region ever comes out.
+
+Weights are learned from labelled pages (`page_labels`): each token has one for lines outside, for
+text, and for other lines inside, fitted together as a softmax regression. A line's score is the log
+odds of lying inside. Every labelled page is learned from twice, as it is and without its tags, so
+that words carry weight of their own on pages that have none; without tags a signature is marked by
+dashes, as plain text has it.
+
+Distribution: no shuffle of large tables' pages (`session.spread` moves small ones). Learning takes a
+bounded sample to the driver; its weights, at most MOST_WORDS + MOST_MARKS tokens, go to the tasks;
+each page is read in one pass of its own, whole, however long.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from math import log
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.page_lines import Line, Page, line_tokens, read_page, squeeze
-from forumlake.session import spread
+from forumlake.llm.page_labels import OTHER, SIGN, hand_labelled, labels_of
+from forumlake.llm.page_lines import MARKUP, Fact, Lines, Reader
+from forumlake.session import ship, spread
 
-#: Pages aimed at for the labelled sample; rows of the weight table at most.
-SAMPLE_PAGES, MOST_WEIGHTS = 3_000, 50_000
-#: Weights where nothing was learned: a word, a tag, a dated line, the title, a link line.
-PRIOR = {"w:": 0.25, "p:": 0.0, "<": -0.6, "f:moment": 1.5, "f:title": 1.5, "f:linked": -1.0, "f:short": -0.3}
-#: A token counts as if seen so often at its prior, and can't weigh more than this.
-STRENGTH, LIMIT = 3.0, 3.0
+#: Pages of the corpus that are learned from, at most; none of them has more characters than that.
+SAMPLE_PAGES, LONGEST_SAMPLED = 600, 100_000
+#: Tokens of words and of markup that get weights, at most; the most frequent are kept of each.
+MOST_WORDS, MOST_MARKS = 40_000, 10_000
+#: A page labelled by hand counts as so many.
+HAND_WEIGHT = 3.0
+#: No line scores more than this for or against the region.
+LIMIT = 6.0
 
-#: A line of text that scores this low belongs to menus and notices.
-MENU = -2.5
 
-_BUTTON = regex.compile(r"^\s*<a\b[^>]*>[^<]{1,40}</a>\s*(?:<a\b[^>]*>[^<]{1,40}</a>\s*)*$", regex.I)
-_BRACKETED = regex.compile(r"^\[[^\[\]]{1,16}\]$")
-_ADVERT = regex.compile(r"^(?:sponsored|advertisement|ad|anzeige|werbung|推广|广告|廣告|広告|PR)\s*[:：]", regex.I)
-_RULED = regex.compile(r"^\s*<hr\b[^>]*>\s*<(?:i|em|small)\b", regex.I)
-_SIGN = regex.compile(r"(?:^|[\s_-])sign(?:ature)?(?:$|[\s_-])|(?:^|\s)tip_j(?:$|\s)", regex.I)
-_FLOOR = regex.compile(r"^#\d+(?:-\d+)?(?:\s*[-–·].{0,40})?$")
-_BARS = regex.compile(r"\s[|·»›>]\s.*\s[|·»›>]\s|^©|\S {2,}\S")
-
-
-def prior(token: str) -> float:
-    return PRIOR.get(token, PRIOR.get(token[:2], PRIOR.get(token[:1], 0.0)))
-
-
-def best_region(scores: list[float]) -> tuple[int, int]:
+def best_region(scores: Sequence[float]) -> tuple[int, int]:
     """First and last place of the contiguous run with the greatest sum; (0, -1) if none is positive.
 
     One pass: a running sum that falls to zero or below can't begin the best run. Of equal sums
@@ -69,254 +58,175 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def _heading_of(page: Page, title: str | None) -> str:
-    """The topic's heading as it would be shown."""
-    return squeeze(title) or page.title.rpartition(" | ")[0] or page.title
-
+#: Weights of tokens: for lines outside, text, and other lines inside. They are multiples of 2**-16, so
+#: that their sums are exact in any order.
+Weights = dict[str, tuple[float, float, float]]
 
-def _block(page: Page, heading: int, moments: list[int]) -> int:
-    """The innermost block around the heading that holds a dated line below it, or -1."""
-    around = [page.path(page.lines[m].at) for m in moments if m > heading]
-    for e in page.path(page.lines[heading].at):
-        if page.elements[e].name not in ("", "body", "html") and any(e in p for p in around):
-            return e
-    return -1
 
+def sums_of(weights: Weights, tokens: Iterable[str]) -> tuple[float, float, float]:
+    """The three sums of some tokens; unknown ones count nothing."""
+    a = b = c = 0.0
+    for t in tokens:
+        w = weights.get(t)
+        if w:
+            a += w[0]
+            b += w[1]
+            c += w[2]
+    return a, b, c
 
-def _find_heading(page: Page, heading: str, near: int) -> int:
-    """The line with the heading: in a heading tag and equal, equal, or in a first-level tag; nearest before or at `near`."""
-    rank: list[tuple[int, int, int]] = []
-    for i, x in enumerate(page.lines):
-        same, first = bool(x.text) and x.text == heading, "<h1>" in x.tags and bool(x.text)
-        if same or first:
-            rank.append((0 if same and first else 1 if same else 2, abs(i - near), i))
-    return min(rank)[2] if rank else -1
 
+def _vocabulary(rows: Counter) -> dict[str, int]:
+    n: Counter[str] = Counter()
+    for (tok, _), k in rows.items():
+        for t in tok:
+            n[t] += k
+    seen = sorted((t for t, k in n.items() if k >= 2), key=lambda t: (-n[t], t))
+    marks = [t for t in seen if t.startswith(("q:", "c:", "i:"))][:MOST_MARKS]
+    words = [t for t in seen if not t.startswith(("q:", "c:", "i:"))][:MOST_WORDS]
+    return {t: i for i, t in enumerate([*words, *marks])}
 
-def label(page: Page) -> tuple[int, int, int] | None:
-    """First and last line of the body, and its block, as the markup tells them; None where it doesn't."""
-    moments = [i for i, x in enumerate(page.lines) if x.moment]
-    firsts = [i for i, x in enumerate(page.lines) if "<h1>" in x.tags and x.text]
-    if len(firsts) != 1 or not moments:
-        return None
-    block = _block(page, firsts[0], moments)
-    if block < 0:
-        return None
-    inside = [i for i, x in enumerate(page.lines) if x.text and i >= firsts[0] and block in page.path(x.at)]
-    return (firsts[0], inside[-1], block) if inside else None
 
+def fit(rows: Counter, epochs: int = 6, updates: int = 150, batch: int = 512, rate: float = 0.3, decay: float = 1e-5) -> Weights:
+    """Softmax regression of labels on tokens by AdaGrad, in as many epochs as ask for `updates` at least.
 
-def token_counts(pages: DataFrame) -> DataFrame:
-    """token, inside, outside: over labelled pages. Tokens c:... count how classes are used in posts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside: Counter[str] = Counter()
-        outside: Counter[str] = Counter()
-        for b in batches:
-            for title, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not content:
-                    continue
-                page = read_page(content)
-                span = label(page)
-                if span is None:
-                    continue
-                moments = [i for i, x in enumerate(page.lines) if x.moment]
-                for (c, kind), n in _class_uses(page, _posts(page, span[0], span[2], moments)).items():
-                    inside[f"c:{kind}:{c}"] += n
-                heading = _heading_of(page, title)
-                for i, x in enumerate(page.lines):
-                    (inside if span[0] <= i <= span[1] else outside).update(line_tokens(x, heading))
-        names = list(inside.keys() | outside.keys())
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([inside[t] for t in part], pa.int64()), pa.array([outside[t] for t in part], pa.int64())], names=["token", "inside", "outside"])
-
-    counts = spread(pages.select("title", "contentHtml")).mapInArrow(run, "token string, inside bigint, outside bigint")
-    return counts.groupBy("token").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-
-
-def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights of tokens, from about `sample` pages chosen by a hash of page_id.
-
-    Tokens seen fewer than three times keep their prior; if there are more than MOST_WEIGHTS
-    others, the most frequent are kept. Without labelled pages all weights are priors.
+    rows counts (frozenset of tokens, label). Same rows, same weights.
     """
-    grid, n = 1 << 20, pages.count()
-    part = grid if n <= sample else max(1, grid * sample // n)
-    counts = token_counts(pages.where(F.pmod(F.xxhash64("page_id"), F.lit(grid)) < part))
-    counts = counts.where((F.col("inside") + F.col("outside") >= 3) | F.col("token").startswith("c:"))
-    rows = counts.orderBy((~F.col("token").startswith("c:")), (F.col("inside") + F.col("outside")).desc(), "token").limit(MOST_WEIGHTS).collect()
-    return weights_of([tuple(r) for r in rows])
-
-
-def weights_of(rows: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Weights from counts (token, inside, outside): smoothed, bounded log odds; and the classes of signatures."""
-    uses: Counter[tuple[str, str]] = Counter()
-    for t, i, _ in rows:
-        if t.startswith("c:"):
-            _, kind, c = t.split(":", 2)
-            uses[c, kind] += i
-    words = [r for r in rows if not r[0].startswith("c:")]
-    a, b = max(1, sum(r[1] for r in words)), max(1, sum(r[2] for r in words))
-    # a class that was seen too seldom is judged on its own page
-    out = {f"sign:{c}": 1.0 if yes else -1.0 for c, yes in signature_classes(uses).items() if uses[c, "all"] >= 4}
-    for t, i, o in words:
-        p = prior(t)
-        odds = log((i / a + 1e-6) / (o / b + 1e-6))
-        k = i + o
-        out[t] = (max(-LIMIT, min(LIMIT, odds)) * k + p * STRENGTH) / (k + STRENGTH)
-    return out
-
-
-def line_scores(page: Page, heading: str, weights: dict[str, float]) -> list[float]:
-    """The sum of a line's weights; long lines count less than in proportion, by the square root of their words."""
-    out = []
-    for x in page.lines:
-        tokens = line_tokens(x, heading)
-        s = sum(weights.get(t, prior(t)) for t in tokens) / max(1.0, len(tokens)) ** 0.5
-        bare = x.text and not any(c.isalnum() for c in x.text)  # dots or signs alone tell nothing
-        out.append(max(s, 0.0) if bare else s)
-    return out
-
-
-def _is_sign(page: Page, line: Line, stop: int) -> bool:
-    if _RULED.match(line.raw) or line.text.startswith("-- "):
-        return True
-    for e in page.path(line.at):
-        if e == stop:
-            return False
-        if _SIGN.search(page.elements[e].cls):
-            return True
-    return False
-
-
-def _not_post_text(line: Line) -> bool:
-    """Author and date, floor number, button, advert: lines inside a body that show no text of a post."""
-    return (
-        line.moment or _FLOOR.match(line.text) is not None or _BRACKETED.match(line.text) is not None or _ADVERT.match(line.text) is not None
-        or _BUTTON.match(line.raw) is not None or any('href="/user/' in a for a in line.links) and "<strong>" in line.tags
-    )
-
-
-def _posts(page: Page, heading: int, block: int, moments: list[int]) -> dict[int, list[tuple[int, int]]]:
-    """Of each post (an element right in the block that holds a dated line): the lines that may show its text, with their innermost block."""
-    posts: dict[int, list[tuple[int, int]]] = {}
-    for m in moments:
-        path = page.path(page.lines[m].at)
-        if block in path and path.index(block) > 0:
-            posts[path[path.index(block) - 1]] = []
-    for i, x in enumerate(page.lines):
-        if i > heading and x.text and not _not_post_text(x) and not _is_sign(page, x, block):
-            path = page.path(x.at)
-            if block in path and path.index(block) > 0 and path[path.index(block) - 1] in posts:
-                posts[path[path.index(block) - 1]].append((i, x.at))
-    return posts
-
-
-def _class_uses(page: Page, posts: dict[int, list[tuple[int, int]]]) -> Counter[tuple[str, str]]:
-    """How often blocks of a class come in posts, after another text of the post, and before one."""
-    out: Counter[tuple[str, str]] = Counter()
-    for post, lines in posts.items():
-        runs = [e for k, (_, e) in enumerate(lines) if k == 0 or lines[k - 1][1] != e or e == post]
-        for k, e in enumerate(runs):
-            c = page.elements[e].cls
-            if e != post and c:
-                out[c, "all"] += 1
-                out[c, "after"] += k > 0
-                out[c, "before"] += k < len(runs) - 1
-    return out
-
-
-def signature_classes(uses: Counter[tuple[str, str]]) -> dict[str, bool]:
-    """Whether blocks of a class are signatures: never followed by text of the same post, mostly preceded by some."""
-    return {c: uses[c, "before"] == 0 and 2 * uses[c, "after"] >= n for (c, kind), n in uses.items() if kind == "all"}
-
-
-def _in_blocks(page: Page, heading: int, block: int, moments: list[int], weights: dict[str, float], region: tuple[int, int], scores: list[float]) -> list[int]:
-    """Lines of a body in a block: the heading, the text of dated posts and the region's other text, without signatures.
-
-    Dated posts are taken whole, also where the region ends before them; what is dated by no line
-    counts only inside the region, and there unless it scores as a menu.
+    place = _vocabulary(rows)
+    items = sorted(((sorted(place[t] for t in tok if t in place), y, k) for (tok, y), k in rows.items()), key=lambda r: (r[0], r[1]))
+    items = [r for r in items if r[0]]
+    table = np.zeros((len(place), 3))
+    if not items:
+        return {}
+    size = np.array([len(r[0]) for r in items])
+    flat = np.concatenate([r[0] for r in items])
+    begin = np.cumsum(size) - size
+    label = np.eye(3)[[r[1] for r in items]]
+    weight = np.sqrt(np.array([r[2] for r in items], dtype=float))
+    square = np.full_like(table, 1e-6)
+    order = np.random.default_rng(0)
+    for _ in range(max(epochs, -(-updates * batch // len(items)))):
+        perm = order.permutation(len(items))
+        for at in range(0, len(perm), batch):
+            pick = perm[at : at + batch]
+            n = size[pick]
+            ends = np.cumsum(n)
+            tok = flat[np.repeat(begin[pick] - (ends - n), n) + np.arange(ends[-1])]
+            s = np.add.reduceat(table[tok], ends - n)
+            p = np.exp(s - s.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            err = np.repeat((p - label[pick]) * weight[pick, None], n, axis=0)
+            grad = np.stack([np.bincount(tok, err[:, k], len(table)) for k in range(3)], axis=1) / len(pick) + decay * table
+            square += grad**2
+            table -= rate * grad / np.sqrt(square)
+    return {t: tuple(w) for t, w in zip(place, (np.round(table * 65536) / 65536).tolist(), strict=True)}
+
+
+def training_rows(pages: Sequence[tuple[str | None, str]]) -> Counter:
+    """Counts of (tokens, label) over the lines of labelled pages (title, content) and those labelled by hand."""
+    rows: Counter = Counter()
+
+    reader = Reader()
+
+    def add(title: str | None, content: str, labels: list[int], k: float) -> None:
+        page = reader.read(content, title)
+        for i, y in enumerate(labels):
+            tok = page.tokens(i)
+            rows[tok, min(y, OTHER)] += k
+            bare = {t for t in tok if not t.startswith(MARKUP)}
+            if len(bare) + 2 < len(tok) or y == SIGN:
+                rows[frozenset({*bare, "i:", "h:0", "f:dashes"} if y == SIGN else {*bare, "i:", "h:0"}), min(y, OTHER)] += k
+
+    for title, content, labels in hand_labelled():
+        add(title, content, labels, HAND_WEIGHT)
+    for (title, content), labels in zip(pages, labels_of([c for _, c in pages]), strict=True):
+        if labels is not None:
+            add(title, content, labels, 1.0)
+    return rows
+
+
+def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Weights:
+    """Weights from at most ``sample`` pages, the first by a hash of page_id, and the pages labelled by hand.
+
+    The same table gives the same weights however it is partitioned. Without pages that their markup
+    labels, the hand-labelled ones alone decide.
     """
-    posts = _posts(page, heading, block, moments)
-    own = signature_classes(_class_uses(page, posts))
-
-    def signed(e: int, post: int) -> bool:
-        c = page.elements[e].cls if e != post else ""
-        return bool(c) and (weights["sign:" + c] > 0 if "sign:" + c in weights else own.get(c, False))
-
-    found = [heading, *(i for post, lines in posts.items() for i, e in lines if not signed(e, post))]
-    for i in range(max(region[0], heading + 1), region[1] + 1):
-        x = page.lines[i]
-        path = page.path(x.at)
-        if x.text and block in path and scores[i] > MENU and not _not_post_text(x) and not _is_sign(page, x, block):
-            post = path[max(0, path.index(block) - 1)]
-            if post not in posts and not signed(x.at, post):
-                found.append(i)
-    return found
-
+    some = pages.select("page_id", "title", "contentHtml").where(F.col("contentHtml").isNotNull() & (F.length("contentHtml") <= LONGEST_SAMPLED))
+    grid, n = 1 << 20, pages.count()
+    if n > 4 * sample:  # by the row count, so that the ordering below sees a few times the sample
+        some = some.where(F.pmod(F.xxhash64("page_id"), F.lit(grid)) < max(1, grid * 4 * sample // n))
+    first = some.dropDuplicates(["page_id", "contentHtml"]).orderBy(F.xxhash64("page_id", F.lit(1)), "page_id", F.xxhash64("contentHtml"), "title").limit(sample)
+    return fit(training_rows([(r.title, r.contentHtml) for r in first.select("title", "contentHtml").collect()]))
+
+
+class Scanner:
+    """Finds main bodies; remembers the sums of lines and of places that come again."""
+
+    def __init__(self, weights: Weights):
+        self.weights, self.reader = weights, Reader()
+        self.lines: dict[Fact, tuple] = {}
+        self.places: dict[tuple[str, ...], tuple] = {}
+
+    def sums(self, page: Lines) -> np.ndarray:
+        """For each line, the sums of its weights for lines outside, text, and other lines inside."""
+        weights, known, places = self.weights, self.lines, self.places
+        a, b = [], []
+        for f, around in zip(page.facts, page.around, strict=True):
+            x = known.get(f)
+            if x is None:
+                x = sums_of(weights, f.tokens)
+                if len(known) < Reader.MOST and len(f.text) <= Reader.SHORT:
+                    known[f] = x
+            y = places.get(around)
+            if y is None:
+                y = sums_of(weights, around)
+                if len(places) < Reader.MOST:
+                    places[around] = y
+            a.append(x)
+            b.append(y)
+        return np.array(a) + np.array(b)
+
+    def region(self, page: Lines) -> tuple[int, int, np.ndarray]:
+        """First and last line of the best region, and all lines' sums."""
+        sums = self.sums(page)
+        inside = np.logaddexp(sums[:, 1], sums[:, 2]) - sums[:, 0]
+        return *best_region(np.clip(inside, -LIMIT, LIMIT).tolist()), sums
+
+    def body_lines(self, content: str | None, title: str | None) -> list[int]:
+        """Numbers, from 1, of the lines that show text of the main body.
+
+        Null, empty and blank pages have none, nor has a page whose best region holds neither the
+        topic's heading nor a dated line.
+        """
+        if not content or not content.strip():
+            return []
+        page = self.reader.read(content, title)
+        start, end, sums = self.region(page)
+        if not any(page.anchors[start : end + 1]):
+            return []
+        return [i + 1 for i in range(start, end + 1) if page.facts[i].text and sums[i, 1] > sums[i, 2]]
 
-def _in_text(page: Page, heading: int, end: int, scores: list[float]) -> list[int]:
-    """Lines of a body on a page without blocks: from the heading to the end of the last post.
 
-    A post goes on until a line of menus or notices; if a dated line comes after such a line, it is no post's.
-    """
-    lines = page.lines
-    found, inside = [heading], False
-    last = max((i for i in range(heading + 1, min(end, len(lines) - 1) + 1) if lines[i].moment), default=-1)
-    for i in range(heading + 1, len(lines)):
-        x = lines[i]
-        if not x.text or _ADVERT.match(x.text) or _BRACKETED.match(x.text):
-            continue
-        if x.moment and i <= last:
-            inside = True
-        elif _BARS.search(x.text) or scores[i] <= MENU or x.moment or i > end and scores[i] < 0 and i > last + 1:
-            break
-        elif inside and not _not_post_text(x) and not _is_sign(page, x, -1):
-            found.append(i)
-    return found
-
-
-def body_lines(content: str | None, title: str | None, weights: dict[str, float]) -> list[int]:
-    """Numbers, from 1, of the lines that show text of the main body.
-
-    Null, empty and blank pages have none, nor has a page whose best region holds neither the
-    topic's heading nor a dated post.
-    """
-    if not content or not content.strip():
-        return []
-    page = read_page(content)
-    heading = _heading_of(page, title)
-    scores = line_scores(page, heading, weights)
-    start, end = best_region(scores)
-    if end < start:
-        return []
-    moments = [i for i, x in enumerate(page.lines) if x.moment]
-    h = _find_heading(page, heading, start)
-    if h < 0:  # without a known title: the line above the region's first post
-        first = next((m for m in moments if start <= m <= end), 0)
-        h = next((i for i in range(first - 1, -1, -1) if page.lines[i].text), -1)
-        if h < 0 or _BARS.search(page.lines[h].text) or page.lines[h].moment or scores[h] <= (0 if heading else MENU):
-            return []
-    block = _block(page, h, moments)
-    found = _in_blocks(page, h, block, moments, weights, (start, end), scores) if block >= 0 else _in_text(page, h, end, scores)
-    return [i + 1 for i in sorted(set(found))]
+def body_lines(content: str | None, title: str | None, weights: Weights) -> list[int]:
+    """`Scanner.body_lines` of one page."""
+    return Scanner(weights).body_lines(content, title)
 
 
-def main_body(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def main_body(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, line_no of the lines of each page's main body.
 
     pages: page_id bigint, title string, contentHtml string; other columns are ignored. A page
     that comes more than once is read once for each distinct content, and its lines come out once.
-    Defined cases: see `body_lines`; an empty table gives no row.
+    Defined cases: see `Scanner.body_lines`; an empty table gives no row.
     """
+    ship(pages.sparkSession)
     own = weights if weights is not None else learn_weights(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(own)
         for b in batches:
             ids, nos = [], []
             for p, t, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                got = body_lines(c, t, own)
+                got = scanner.body_lines(c, t)
                 ids += [p] * len(got)
                 nos += got
             if ids:

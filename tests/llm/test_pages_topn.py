@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from forumlake.llm.main_body import best_region, body_lines, label, learn_weights, main_body, signature_classes
-from forumlake.llm.page_lines import read_page
+from forumlake.llm.main_body import Scanner, best_region, body_lines, learn_weights, main_body
+from forumlake.llm.page_labels import HAND, OTHER, OUTSIDE, SIGN, TEXT, hand_labelled, labels_of, read_page, signature_classes
+from forumlake.llm.page_lines import Reader, visible_lines
 from forumlake.llm.queries import ORACLES, QUERIES
 from forumlake.llm.topn import top_n
 
@@ -73,9 +74,71 @@ def weights(spark):
     return learn_weights(pages)
 
 
-def test_weights_and_label(weights):
-    span = label(read_page(SEMANTIC))
-    assert span[:2] == (4, 16) and weights["w:think"] > -3 and weights["<nav>"] < 0 < weights["f:title"]
+def test_visible_lines_keep_their_numbers():
+    page = "<html><head><title>A &amp; B | S</title>\n<script>\nx\n</script></head>\n<body><div\n class=k>one</div><!-- no\nno -->\n<p style='display:none'>gone\n<b>gone</b></p>\n<p hidden>gone\nend"
+    lines, title = visible_lines(page)
+    assert title == "A & B | S" and len(lines) == page.count("\n") + 1
+    shown = [f.text for f in Reader().read(page, None).facts]
+    assert [(i, t) for i, t in enumerate(shown) if t] == [(5, "one")]
+    for odd in ("", "<", "<a", "</div></div>", "<!--", "<script>", "<div" * 50, "<div>" * 2000, "a < b > c", "\n\n", "<title>", "<head>\nx", "<p hidden>", "© 5", "-- ", "[", "٣"):
+        assert len(Reader().read(odd, "t").facts) == odd.count("\n") + 1
+
+
+def test_labels_and_weights(weights):
+    y = labels_of([SEMANTIC, PLAIN])
+    assert y[1] is None and [i + 1 for i, k in enumerate(y[0]) if k == TEXT] == BODY
+    assert y[0][10] == SIGN and y[0][6] == OTHER and y[0][2] == y[0][-1] == OUTSIDE
+    assert all(len(c.split("\n")) == len(k) and set(k) <= {OUTSIDE, TEXT, OTHER} for _, c, k in hand_labelled()) and len(hand_labelled()) == len(HAND)
+    inside = {t: max(w[1:]) - w[0] for t, w in weights.items()}
+    assert inside["w:think"] > 0 > inside["t:nav"] and inside["f:title"] > 0 > inside["w:cookies"]
+
+
+def test_hand_labelled_pages_are_learned(weights):
+    for title, content, y in hand_labelled():
+        facts = Reader().read(content, title).facts
+        assert body_lines(content, title, weights) == [i + 1 for i, k in enumerate(y) if k == TEXT and facts[i].text]
+
+
+ARTICLE = """<html><head><title>Three lakes in a day | Walks</title></head>
+<body><nav><a href="/">Home</a> <a href="/w">Walks</a></nav>
+<main>
+<h1>Three lakes in a day</h1>
+<p>By Ann, 6 January 2024</p>
+<p>We left before sunrise and had the first lake to ourselves.</p>
+<p>The second one is larger, and the path around it was closed when we came.</p>
+</main>
+<aside><h3>Related topics</h3>
+<p>A longer walk that ends… <a href="/3">Read more</a></p></aside>
+<footer><p>© 2024 Walks. All rights reserved.</p></footer>
+</body></html>"""
+
+
+def test_article_without_dated_posts_keeps_its_paragraphs(weights):
+    for title in ("Three lakes in a day", None):
+        got = body_lines(ARTICLE, title, weights)
+        assert {4, 6, 7} <= set(got) <= {4, 5, 6, 7}
+
+
+def test_the_region_decides(spark, sf):
+    """The same lines, with the region taken to be the whole page, are others on most pages."""
+    pages = spark.read.parquet(f"{sf}/topic.parquet").where("contentHtml <> ''").dropDuplicates(["contentHtml"])
+    scanner = Scanner(learn_weights(pages))
+    differ = n = 0
+    for r in pages.collect():
+        got = scanner.body_lines(r.contentHtml, r.title)
+        if got:
+            page = scanner.reader.read(r.contentHtml, r.title)
+            start, end, sums = scanner.region(page)
+            assert start < got[0] <= got[-1] <= end + 1
+            whole = [i + 1 for i, f in enumerate(page.facts) if f.text and sums[i, 1] > sums[i, 2]]
+            n, differ = n + 1, differ + (whole != got)
+    assert n >= 10 and differ > 0.8 * n
+
+
+def test_weights_do_not_depend_on_partitions(spark):
+    rows = [(i, f"Heading {i % 3}", SEMANTIC.replace("Heading", f"Heading {i % 3}")) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, title string, contentHtml string")
+    assert learn_weights(df.repartition(1), sample=7) == learn_weights(df.repartition(9), sample=7)
 
 
 def test_body_of_pages(weights):
