@@ -46,10 +46,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         v = np.unique(x[:, j])
         at = np.searchsorted(v, edges[j], side="right")
         edges[j] = np.unique(np.where(at < len(v), (edges[j] + v[np.minimum(at, len(v) - 1)]) / 2, edges[j]))
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+    width = max((len(e) for e in edges), default=0) + 1
+    # every feature has its own range of `width` bins
+    binned = np.stack([np.searchsorted(e, x[:, j], side="left") + j * width for j, e in enumerate(edges)], axis=1)
+    real = np.zeros((k, width), dtype=bool)
+    for j, e in enumerate(edges):
+        real[j, : len(e)] = True
     p = (y.sum() + 1) / (n + 2)
     base = float(np.log(p / (1 - p)))
-    f = np.full(n, base)
+    f, rows = np.full(n, base), np.arange(n)
     inner, leaves = 2**depth - 1, 2**depth
     model = Trees(np.zeros((trees, inner), dtype=np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)), base)
     for m in range(trees):
@@ -57,26 +62,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
         g, h = y - prob, prob * (1 - prob)
         node = np.zeros(n, dtype=np.int64)
         for level in range(depth):
-            for q in range(2**level - 1, 2 ** (level + 1) - 1):
-                own = np.nonzero(node == q)[0]
-                best, split = 1e-9, None
-                if len(own):
-                    G, H = g[own].sum(), h[own].sum()
-                    for j in range(k):
-                        e = edges[j]
-                        if not len(e):
-                            continue
-                        b = binned[own, j]
-                        gl = np.cumsum(np.bincount(b, g[own], len(e) + 1))[:-1]
-                        hl = np.cumsum(np.bincount(b, h[own], len(e) + 1))[:-1]
-                        ok = (hl * 4 >= least) & ((H - hl) * 4 >= least)
-                        gain = np.where(ok, gl**2 / (hl + ridge) + (G - gl) ** 2 / (H - hl + ridge) - G**2 / (H + ridge), -1)
-                        i = int(np.argmax(gain))
-                        if gain[i] > best:
-                            best, split = gain[i], (j, e[i])
-                    if split:
-                        model.feature[m, q], model.threshold[m, q] = split
-                    node[own] = 2 * q + 1 + (x[own, model.feature[m, q]] > model.threshold[m, q])
+            first, many = 2**level - 1, 2**level
+            flat = ((node - first)[:, None] * (k * width) + binned).ravel()
+            gl = np.cumsum(np.bincount(flat, np.repeat(g, k), many * k * width).reshape(many, k, width), axis=2)
+            hl = np.cumsum(np.bincount(flat, np.repeat(h, k), many * k * width).reshape(many, k, width), axis=2)
+            G, H = gl[:, :1, -1:], hl[:, :1, -1:]
+            ok = real & (hl * 4 >= least) & ((H - hl) * 4 >= least)
+            gain = np.where(ok, gl**2 / (hl + ridge) + (G - gl) ** 2 / (H - hl + ridge) - G**2 / (H + ridge), -1).reshape(many, -1)
+            best = np.argmax(gain, axis=1)
+            for q in np.nonzero(gain[np.arange(many), best] > 1e-9)[0]:
+                j, i = divmod(int(best[q]), width)
+                model.feature[m, first + q], model.threshold[m, first + q] = j, edges[j][i]
+            node = 2 * node + 1 + (x[rows, model.feature[m, node]] > model.threshold[m, node])
         leaf = node - inner
         value = rate * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + ridge)
         model.leaf[m] = value

@@ -10,10 +10,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from forumlake.llm import boosting
-from forumlake.llm.holdout import JUNK, PROSE
+from forumlake.llm.holdout import HOLDOUT
 from forumlake.llm.packing import pack, pack_shard, sum_of_squares
-from forumlake.llm.quality import fit_classifier, junk_probability, named_statistics, put_together, training_rows
-from forumlake.llm.statistics import NAMES, statistics, weak_label
+from forumlake.llm.quality import LONGEST_SAMPLED, fit_classifier, fit_model, junk_probability, labelled_sample, named_statistics, put_together, training_set
+from forumlake.llm.seeds import JUNK, PROSE
+from forumlake.llm.signals import signals, weak_label
+from forumlake.llm.statistics import BUCKETS, NAMES, Words, learn_tables, statistics
 from forumlake.llm.tokenize import TOKENIZER_DIR, Encoder, byte_characters, encode_documents, load_model
 
 if not os.path.isdir(TOKENIZER_DIR):
@@ -135,18 +137,50 @@ def test_pack_cases(spark):
 # -- statistics and classifier -----------------------------------------------
 
 
+def named(text, tables=None):
+    return dict(zip(NAMES, statistics([text], tables)[0], strict=True))
+
+
 def test_statistics_of_plain_cases():
-    v = dict(zip(NAMES, statistics("The cat sat. It was warm!\nYes."), strict=True))
+    v = named("The cat sat. It was warm!\nYes.")
     assert v["mean_word_length"] == pytest.approx(21 / 7) and v["lines_ended_share"] == 1 and v["digit_share"] == 0 and v["log_lines"] == pytest.approx(np.log(3))
-    assert v["symbol_share"] == pytest.approx(3 / 24) and v["ends_per_word"] == pytest.approx(3 / 7) and v["common_share"] == pytest.approx(3 / 7)
-    for t in ("x", "。", "\u0000", "1", "word " * 40_000, "|" * 3_000, "，" * 100, "\n".join(["a,b,c"] * 500)):
-        s = statistics(t)
-        assert len(s) == len(NAMES) and np.isfinite(s).all()
+    assert v["symbol_share"] == pytest.approx(3 / 24) and v["ends_per_word"] == pytest.approx(3 / 7) and v["common_share"] == pytest.approx(3 / 7) and v["segments_ended_share"] == 1
+    v = named("- a, b, c, d\n| x | y |\n12:\t4\nkey: 5")
+    assert v["item_share"] == 0.5 and v["comma_line_share"] == v["bar_share"] == v["gap_share"] == v["digit_line_share"] == 0.25 and v["colon_line_share"] == 0.5
+    v = named("見た。見た。見た。見た。")
+    assert v["wide_share"] == pytest.approx(2 / 3) and v["distinct_segment_share"] == 0.25 and v["top_segment_share"] == 1
+    for t in ("x", "。", "\u0000", "1", "word " * 40_000, "|" * 3_000, "，" * 100, "\n".join(["a,b,c"] * 500), "\ud800", "😀", "\n\n x", "\r", "é" * 70):
+        assert np.isfinite(statistics([t])).all()
+    assert statistics([]).shape == (0, len(NAMES))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(min_size=1, max_size=80), min_size=1, max_size=6))
+def test_statistics_of_a_text_do_not_depend_on_its_batch(texts):
+    whole = statistics(texts)
+    assert np.isfinite(whole).all()
+    for t, row in zip(texts, whole, strict=True):
+        assert np.array_equal(statistics([t])[0], row)
+
 
+def test_words_are_hashed_by_their_lower_case():
+    a, b = Words(["The cat THE 12 345 茶茶"]), Words(["x the", "cat 9"])
+    assert a.hash[0] == a.hash[2] == b.hash[1] and a.hash[1] == b.hash[2] and a.hash[3] == a.hash[4] == b.hash[3] and a.hash[5] == a.hash[6]
+    assert len(set(a.hash.tolist())) == 4 and a.word_text.tolist() == [0] * 7 and b.word_text.tolist() == [0, 0, 1, 1]
 
-def test_weak_labels_are_right_or_silent_on_checked_texts():
-    wrong = [t for t in PROSE if weak_label(statistics(t)) == 1] + [t for t in JUNK if weak_label(statistics(t)) == 0]
-    assert len(wrong) <= 3, wrong
+
+def test_tables_tell_words_apart():
+    t = learn_tables(["we saw it"] * 5 + ["tide harbor"] * 5 + ["once"], np.array([0] * 5 + [1] * 5 + [0]))
+    assert len(t.words) == len(t.pairs) == BUCKETS
+    assert named("we saw it", t)["word_odds"] > 1 > -1 > named("tide harbor", t)["pair_odds"] and named("once", t)["word_odds"] == 0
+    assert named("it saw we", t)["known_pairs"] == 0 and named("we saw it", t)["known_pairs"] == 1
+
+
+def test_signals_vote_or_keep_silent():
+    assert set(signals(JUNK[1]).values()) == {1} and set(signals(PROSE[0]).values()) == {0}
+    wrong = [t for t in PROSE if weak_label(t) == 1] + [t for t in JUNK if weak_label(t) == 0]
+    assert len(wrong) <= 5, wrong
+    assert sum(weak_label(t) not in (None, y) for t, y in HOLDOUT) <= 2
 
 
 def test_boosting_learns_what_one_threshold_cannot():
@@ -164,36 +198,59 @@ def test_put_together_shares():
     assert t.count("p") == 100 and t.count("j") == 33
 
 
-def test_classifier_on_checked_texts_and_cases(spark):
-    texts = [*PROSE, *JUNK, None, "", " \n"]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, junk string")
-    rows = {r.doc_id: r.junk for r in junk_probability(df).collect()}
-    assert set(rows) == set(range(len(PROSE) + len(JUNK)))
-    right = sum((rows[i] >= 0.5) == (i >= len(PROSE)) for i in rows)
-    assert right >= 0.95 * len(rows)
+def test_training_set_keeps_halves_apart():
+    rows = [(f"prose number {i} that is long enough to be put together with another text, {i}" if i % 4 < 2 else f"junk {i}\n" * 9, int(i % 4 >= 2)) for i in range(16)]
+    texts, label, half = training_set(rows)
+    assert len(texts) == len(label) == len(half) > 16
+    for t, h in zip(texts, half, strict=True):
+        assert {i % 2 for i, (r, _) in enumerate(rows) if r[:20] in t} <= {h}
+
+
+@pytest.fixture(scope="module")
+def model():
+    return fit_model([])
+
+
+#: Plain prose in languages that the test corpus doesn't have; not among the seeds.
+OTHERS = (
+    "Je ne sais pas si vous avez vu le film hier soir, mais la fin est vraiment réussie et la musique m'a beaucoup plu. Il faut le revoir avant de juger.",
+    "No sé si habéis visto el capítulo de ayer, pero la música es preciosa y el final me ha gustado mucho. Hay que verlo otra vez antes de juzgar.",
+    "Я вчера досмотрел последнюю серию и не знаю, что думать. Начало было медленным, но конец мне очень понравился.",
+    "어제 마지막 회를 봤는데 무슨 말을 해야 할지 모르겠어요. 처음에는 조금 느렸지만 마지막 장면은 정말 좋았어요.",
+)
+
+
+def test_holdout_is_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = fit_classifier(docs)
+    p, y = fitted.probability([t for t, _ in HOLDOUT]), np.array([k for _, k in HOLDOUT])
+    assert ((p >= 0.5) == y).mean() >= 0.95 and ((p - y) ** 2).mean() < 0.05
+    assert (fitted.probability(OTHERS) < 0.5).all() and all(weak_label(t) == 0 for t in OTHERS)
+    again = fit_model([*labelled_sample(docs), *HOLDOUT])
+    assert np.array_equal(again.probability(OTHERS), fitted.probability(OTHERS))
+
+
+def test_seeds_alone_give_a_model(model):
+    p, y = model.probability([t for t, _ in HOLDOUT]), np.array([k for _, k in HOLDOUT])
+    assert ((p >= 0.5) == y).mean() >= 0.85
+
+
+def test_junk_probability_cases(spark, model):
+    texts = [*PROSE, *JUNK, None, "", " \n", "\u3000"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, PROSE[0], "x")], "doc_id bigint, text string, junk string")
+    rows = [(r.doc_id, r.junk) for r in junk_probability(df, model).collect()]
+    assert sorted(d for d, _ in rows) == sorted([0, *range(len(PROSE) + len(JUNK))])
+    assert sum((q >= 0.5) == (d >= len(PROSE)) for d, q in rows) >= 0.95 * len(rows)
     assert named_statistics(df).count() == len(rows)
     empty = df.where("false")
-    assert junk_probability(empty).count() == 0
+    assert junk_probability(empty, model).count() == 0 and labelled_sample(empty) == []
+    long = spark.createDataFrame([(1, "We saw it and liked it very much. " * 60_000)], "doc_id bigint, text string")
+    assert junk_probability(long, model).count() == 1 and labelled_sample(long) == [] and len("x" * LONGEST_SAMPLED) == LONGEST_SAMPLED
 
 
-def test_classifier_held_out(spark, sf):
-    """Fitted on half of a corpus; the rules' sure labels of the other half are met."""
+def test_same_rows_whatever_the_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = fit_classifier(docs.where("doc_id % 2 = 0"))
-    other = docs.where("doc_id % 2 = 1 and text is not null and trim(text) <> ''").select("doc_id", "text").collect()
-    sure = [(s, y) for s in (statistics(r.text) for r in other if r.text.strip()) if (y := weak_label(s)) is not None]
-    p = model.probability(np.array([s for s, _ in sure]))
-    assert np.mean((p >= 0.5) == np.array([y for _, y in sure])) >= 0.95
-
-
-def test_training_rows_do_not_depend_on_partitions(spark):
-    texts = [*PROSE, *JUNK]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    few, many = (sorted((tuple(r.stats), r.label) for r in training_rows(df.repartition(n)).collect()) for n in (1, 64))
-    labels = {i: weak_label(statistics(t)) for i, t in enumerate(texts)}
-    seen, mixed = set(), 0
-    for r in df.orderBy(F.xxhash64("doc_id")).collect():
-        if labels[r.doc_id] is not None and 60 < len(r.text) < 20_000:
-            mixed += 2 * (1 - labels[r.doc_id] in seen)
-            seen.add(labels[r.doc_id])
-    assert mixed and few == many and len(few) == sum(y is not None for y in labels.values()) + mixed
+    few, many = (labelled_sample(docs.repartition(n)) for n in (3, 40))
+    assert few == many and len(few) > 50
+    a, b = (sorted(map(tuple, junk_probability(docs.repartition(n)).collect())) for n in (3, 40))
+    assert a == b
