@@ -48,15 +48,30 @@ def pair_commits(pages: DataFrame, documents: DataFrame, keys: Sequence[str]) ->
     return exact.join(near, [*keys, "ts"], "left").withColumn("document_ts", F.coalesce("document_ts", "near_ts")).drop("near_ts")
 
 
+#: Slots that the time from the first to the last blocked moment is cut into.
+BLOCK_SLOTS = 1 << 16
+
+
 def drop_blocked(versions: DataFrame, ranges: DataFrame, ts: str = "ts") -> DataFrame:
-    """Versions outside all closed ranges (lo, hi): a configured list of at most 10,000, checked."""
-    bounds = ranges.limit(10_001).collect()
-    if len(bounds) > 10_000:
-        raise ValueError("too many blocked ranges")
-    inside: Column = F.lit(False)
-    for r in bounds:
-        inside = inside | F.col(ts).between(r["lo"], r["hi"])
-    return versions.where(~inside)
+    """Versions outside all closed ranges (lo, hi), however many, which may overlap; a range with a null end is none.
+
+    Time is cut into slots. Slots that a range covers are one row each, a range's ends one row per
+    slot they lie in, and versions are anti-joined on their slot. A version with a null moment stays.
+    """
+    r = ranges.where("lo <= hi").select(F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+    ends = r.agg(F.min("lo").alias("a"), F.max("hi").alias("b")).first()
+    if ends["a"] is None:
+        return versions
+    width = (ends["b"] - ends["a"]) // BLOCK_SLOTS + 1
+    slot = F.expr(f"({ts} - {ends['a']}) div {width}")
+    pieces = r.select("lo", "hi", F.explode(F.expr(f"sequence((lo - {ends['a']}) div {width}, (hi - {ends['a']}) div {width})")).alias("__fl_slot"))
+    begin = F.col("__fl_slot") * width + ends["a"]
+    whole = (F.col("lo") <= begin) & (F.col("hi") >= begin + width - 1)
+    covered = pieces.where(whole).select("__fl_slot").distinct()
+    parts = pieces.where(~whole).select(F.col("__fl_slot").alias("__fl_s"), F.col("lo").alias("__fl_lo"), F.col("hi").alias("__fl_hi"))
+    free = versions.withColumn("__fl_slot", slot).join(covered, "__fl_slot", "left_anti")
+    inside = (F.col("__fl_slot") == F.col("__fl_s")) & F.col(ts).between(F.col("__fl_lo"), F.col("__fl_hi"))
+    return free.join(parts, inside, "left_anti").drop("__fl_slot")
 
 
 def cut_at_block(versions: DataFrame, keys: Sequence[str], blocked: Column, ts: str = "ts") -> DataFrame:

@@ -36,20 +36,26 @@ def hole_ranges(ids: DataFrame, first: int = 1) -> DataFrame:
 
 
 def ranges_to_ids(ranges: DataFrame) -> DataFrame:
-    """Every id of ranges; a long range is cut first, so that no row explodes into more than a slot."""
+    """Every id of ranges; a long range is cut into slots, which are spread before they are spelled out."""
     pieces = ranges.select("type", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / SLOT), F.floor(F.col("hi") / SLOT))).alias("k"))
     lo, hi = F.greatest(F.col("lo"), F.col("k") * SLOT), F.least(F.col("hi"), (F.col("k") + 1) * SLOT - 1)
-    return pieces.select("type", F.explode(F.sequence(lo, hi)).alias("id"))
+    return pieces.repartition("type", "k").select("type", F.explode(F.sequence(lo, hi)).alias("id"))
 
 
 def ranges(ids: DataFrame) -> DataFrame:
-    """type, lo, hi of the maximal runs of ids that do occur (gaps and islands, by slots)."""
+    """type, lo, hi of the maximal runs of ids that do occur (gaps and islands, by slots).
+
+    Runs are found inside slots. Only a run that touches its slot's first or last id can go on in a
+    neighbour, and these, two per slot at most, are what a type's one sort sees.
+    """
     own = ids.select("type", F.col("id").cast("bigint").alias("id")).distinct().withColumn("slot", F.floor(F.col("id") / SLOT))
     n = F.row_number().over(Window.partitionBy("type", "slot").orderBy("id"))
     parts = own.withColumn("k", F.col("id") - n).groupBy("type", "slot", "k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    edge = (F.col("lo") == F.col("slot") * SLOT) | (F.col("hi") == (F.col("slot") + 1) * SLOT - 1)
     w = Window.partitionBy("type").orderBy("lo")
     begins = F.coalesce((F.col("lo") != F.lag("hi").over(w) + 1).cast("int"), F.lit(1))
-    return parts.withColumn("b", begins).withColumn("run", F.sum("b").over(w)).groupBy("type", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    joined = parts.where(edge).withColumn("b", begins).withColumn("run", F.sum("b").over(w)).groupBy("type", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return parts.where(~edge).select("type", "lo", "hi").unionByName(joined.drop("run"))
 
 
 def words(ids: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def words(ids: DataFrame) -> DataFrame:
     got = ids.where("id >= 0").select("type", F.expr("id div 64").alias("word_idx"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bit"))
     used = got.groupBy("type", "word_idx").agg(F.bit_or("bit").alias("word"))
     tops = used.groupBy("type").agg(F.max("word_idx").alias("top"))
-    every = tops.select("type", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("word_idx"))
+    every = ranges_to_ids(tops.select("type", F.lit(0).cast("bigint").alias("lo"), F.col("top").alias("hi"))).withColumnRenamed("id", "word_idx")
     return every.join(used, ["type", "word_idx"], "left").select("type", "word_idx", F.coalesce("word", F.lit(0)).alias("word"))
 
 

@@ -174,21 +174,34 @@ def _flags(cols: Sequence[Column]) -> Column:
     return out
 
 
+def _packs(snapshots: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether keys are three whole numbers of at most 32 bits, which two bigints hold."""
+    types = dict(snapshots.dtypes)
+    return len(keys) == 3 and all(types[k] in ("tinyint", "smallint", "int") for k in keys)
+
+
+def _key_pair(snapshots: DataFrame, keys: Sequence[str]) -> tuple[Column, Column]:
+    """Two bigints for a key: its three ints, with a bit for each null, or else two hashes of it."""
+    cols = [F.col(k) for k in keys]
+    if not _packs(snapshots, keys):
+        return F.xxhash64(_flags(cols), *cols, F.lit(1)), F.xxhash64(F.lit(2), _flags(cols), *cols)
+    a, b, c = (x.cast("int") for x in cols)
+    low, zero = F.lit(0xFFFFFFFF), F.lit(0)
+    k1 = F.shiftleft(F.coalesce(b, zero).cast("bigint"), 32).bitwiseOR(F.coalesce(c, zero).cast("bigint").bitwiseAND(low))
+    k2 = F.shiftleft(_flags([a, b, c]), 32).bitwiseOR(F.coalesce(a, zero).cast("bigint").bitwiseAND(low))
+    return k1, k2
+
+
 def _elements(snapshots: DataFrame, order: str, keys: Sequence[str], values: Sequence[str], buckets: int) -> DataFrame:
-    """snap, bucket, k1, k2, v: one element per delivery and key.
+    """at (the delivery), bucket, k1, k2, v: one element per delivery and key, with repetitions.
 
-    Keys are three int columns, packed into two bigints with a bit for each null. v digests
-    the values as stored, nulls marked. Repeated rows give the same v; if copies of a key
+    v digests the values as stored, nulls marked. Repeated rows give the same v; if copies of a key
     disagree inside a delivery, the greatest digest stands for the key, at every run.
     """
-    a, b, c = (F.col(k).cast("int") for k in keys)
-    low = F.lit(0xFFFFFFFF)
-    zero = F.lit(0)
-    k1 = F.shiftleft(F.coalesce(b, zero).cast("bigint"), 32).bitwiseOR(F.coalesce(c, zero).cast("bigint").bitwiseAND(low))
-    k2 = F.shiftleft(_flags([a, b, c]), 32).bitwiseOR(F.coalesce(a, zero).cast("bigint").bitwiseAND(low))
+    k1, k2 = _key_pair(snapshots, keys)
     vs = [F.col(x) for x in values]
-    v = F.xxhash64(_flags(vs), *[F.coalesce(x.cast("bigint"), zero.cast("bigint")) for x in vs])
-    rows = snapshots.where(F.col(order).isNotNull()).select(F.col(order).alias("snap"), k1.alias("k1"), k2.alias("k2"), v.alias("v"))
+    v = F.xxhash64(_flags(vs), *vs)
+    rows = snapshots.where(F.col(order).isNotNull()).select(F.col(order).alias("at"), k1.alias("k1"), k2.alias("k2"), v.alias("v"))
     bucket = F.pmod(F.xxhash64("k1", "k2", F.lit(7).cast("bigint")), F.lit(buckets)).cast("int")
     return rows.withColumn("bucket", bucket)
 
@@ -214,7 +227,7 @@ def _sketch(elements: DataFrame, n_snaps: int, seed: int, cells: int) -> DataFra
         .where((F.col("pair") > 0) & (F.col("pair") < n_snaps))
         .groupBy("bucket", "pair", "cell").agg(F.sum("cnt").alias("cnt"), *xors)
     )
-    some = (F.col("cnt") != 0) | (F.col("c") != 0) | (F.col("v") != 0) | (F.col("cell") < 0)
+    some = (F.col("cnt") != 0) | (F.col("c") != 0) | (F.col("v") != 0) | (F.col("k1") != 0) | (F.col("k2") != 0)  # a bucket without a change has no row left
     return minus.where(some).select("pair", "bucket", "cell", "cnt", "k1", "k2", "v", "c").sortWithinPartitions("pair", "bucket")
 
 
@@ -240,24 +253,26 @@ def snapshot_changes(
 ) -> DataFrame:
     """Keys added, removed or changed by each delivery against the one before it.
 
-    snapshots: ``order`` (bigint, the delivery), three int key columns, integer value columns;
-    others are ignored. Returns order, the keys, change. Defined cases: rows without a delivery
+    snapshots: ``order`` (a number, date or time, the delivery), keys and values of any types that
+    hash; others are ignored. Keys of three ints are what the tables hold; of other keys they hold two
+    hashes, and the keys themselves are looked up afterwards in the deliveries, by recovered hashes.
+    Returns order, the keys, change. Defined cases: rows without a delivery
     are left out; rows repeated inside a delivery count once; null keys are keys; null and null
     don't differ, null and a value do; a single delivery, or none, gives no row; a delivery that
     misses a key between two that have it gives removed, then added.
     """
-    per = snapshots.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
+    per = snapshots.where(F.col(order).isNotNull()).groupBy(F.col(order).alias("at")).agg(F.count("*").alias("n"))
     found = sorted((r[0], r[1]) for r in per.collect())  # one row per delivery
-    stamps = [s for s, _ in found]
     buckets = max(1, -(-max((n for _, n in found), default=0) // bucket_rows))
-    number = F.array_position(F.array(*[F.lit(s).cast("bigint") for s in stamps]), F.col("snap").cast("bigint")).cast("int") - 1 if stamps else F.lit(0)
-    elements = _elements(snapshots, order, keys, values, buckets).withColumn("snap", number)
+    kind = dict(snapshots.dtypes)[order]
+    numbers = F.broadcast(spark.createDataFrame([(s, i) for i, (s, _) in enumerate(found)], f"at {kind}, snap int"))  # one row per delivery
+    elements = _elements(snapshots, order, keys, values, buckets).join(numbers, "at").drop("at")
     results: list[DataFrame] = []
     todo: DataFrame | None = None
     cells = first_cells
     for attempt in range(rounds):
         rows = elements if todo is None else elements.join(todo.select("bucket").distinct(), "bucket", "left_semi")
-        tables = _sketch(rows.repartition("bucket"), len(stamps), attempt, cells)
+        tables = _sketch(rows.repartition("bucket"), len(found), attempt, cells)
         if todo is not None:
             tables = tables.join(todo, ["pair", "bucket"], "left_semi").sortWithinPartitions("pair", "bucket")
         done = materialise(spark, tables.mapInArrow(_peeler(attempt, cells), _OUT), f"diff-{attempt}")
@@ -267,10 +282,13 @@ def snapshot_changes(
             break
         cells = min(cells * GROW, HASHES << 16)
     else:
-        results.append(_exact(elements, todo, len(stamps)))
+        results.append(_exact(elements, todo, len(found)))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
+    out = out.join(numbers.select(F.col("at").alias("__fl_at"), F.col("snap").alias("pair")), "pair")
+    if not _packs(snapshots, keys):
+        return _look_up(out, snapshots, order, keys)
     low = F.lit(0xFFFFFFFF)
 
     def half(col: Column, bit: int) -> Column:
@@ -278,8 +296,15 @@ def snapshot_changes(
         signed = F.when(x > 0x7FFFFFFF, x - F.lit(1 << 32)).otherwise(x).cast("int")
         return F.when(F.shiftrightunsigned(F.col("k2"), 32).bitwiseAND(F.lit(1 << bit)) == 0, signed)
 
-    stamp = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in stamps or [0]]), F.col("pair") + 1)
     a, b, c = keys
     return out.select(
-        stamp.alias(order), half(F.col("k2"), 0).alias(a), half(F.shiftrightunsigned(F.col("k1"), 32), 1).alias(b), half(F.col("k1"), 2).alias(c), "change"
+        F.col("__fl_at").alias(order), half(F.col("k2"), 0).alias(a), half(F.shiftrightunsigned(F.col("k1"), 32), 1).alias(b), half(F.col("k1"), 2).alias(c), "change"
     )
+
+
+def _look_up(out: DataFrame, snapshots: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    """The keys of recovered hashes, from the rows that have them; the join filters rows by the hashes before they move."""
+    k1, k2 = _key_pair(snapshots, keys)
+    names = snapshots.where(F.col(order).isNotNull()).select(k1.alias("k1"), k2.alias("k2"), F.struct(*keys).alias("__fl_k"))
+    wanted = names.join(out.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("__fl_k").alias("__fl_k"))
+    return out.join(wanted, ["k1", "k2"]).select(F.col("__fl_at").alias(order), *[F.col(f"__fl_k.{k}").alias(k) for k in keys], "change")

@@ -13,7 +13,7 @@ from forumlake.operators.heavy_keys import eager_join_aggregate, key_activity
 from forumlake.operators.rolling import daily_values, rolling_totals
 from forumlake.operators.snapshot_diff import snapshot_changes
 from forumlake.schema import forum_day, second, somebody
-from forumlake.session import scratch, table
+from forumlake.session import materialise, scratch, table
 from forumlake.sources.topic_files import topic_records
 
 #: Topic ids per partition directory of the compacted table.
@@ -24,13 +24,16 @@ HEAVY_ONE_IN = 40
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Post records of all topic files, each once, read from the compacted table."""
+    """Post records of all topic files, each once, read from the compacted table.
+
+    Partitions that come in one small file, or in well-sized ones, are left alone; copies in them are removed on reading.
+    """
     rows = topic_records(table(spark, root, "ba_cache_file_relative_path"), table(spark, root, "raw_file"))
     t = FileTable(
         spark, scratch(spark, "p1"), "mid int, id int, uid bigint, state bigint, dateline bigint, type int, slot int", ["type", "slot"], ["type", "mid", "id"]
     )
     t.append(rows.select("mid", "id", "uid", "state", "dateline", "type", F.expr(f"mid div {SLOT}").cast("int").alias("slot")))
-    t.compact(max_small_files=0)
+    t.compact()
     return t.read().select("type", "mid", "id")
 
 
@@ -65,7 +68,8 @@ def p6_keys(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    keys = p6_keys(spark, root)
+    """Heavy keys. All keys are counted once, into a table from which both the whole and the keys are read."""
+    keys = materialise(spark, p6_keys(spark, root), "p6")
     whole = keys.where("field = 'all'").select("n_posts").scalar()
     return keys.where((F.col("field") != "all") & (F.col("n_posts") * HEAVY_ONE_IN >= whole)).select("field", "type", "key_id")
 

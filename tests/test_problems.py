@@ -1,5 +1,6 @@
 """The core's data-preparation operators on small made-up inputs, against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -147,6 +148,14 @@ def test_snapshot_changes_cases(spark):
     assert snapshot_changes(spark, df.where("false")).count() == 0
 
 
+def test_snapshot_changes_of_any_types(spark):
+    rows = [("2024-01-01", "a", 1 << 40, "x", 1.5), ("2024-01-01", "b", 1, None, None), ("2024-01-01", None, 2, "z", 0.5), ("2024-01-02", "a", 1 << 40, "y", 1.5), ("2024-01-02", None, 2, "z", 0.5), ("2024-01-02", "c", 1, "", 0.0), ("2024-01-02", "c", 1, "", 0.0)]
+    df = spark.createDataFrame(rows, "day string, name string, n bigint, title string, x double").withColumn("day", F.col("day").cast("date"))
+    got = snapshot_changes(spark, df, "day", ["name", "n"], ["title", "x"])
+    assert got.columns == ["day", "name", "n", "change"] and {str(r.day) for r in got.collect()} == {"2024-01-02"}
+    assert sorted((r.name, r.n, r.change) for r in got.collect()) == [("a", 1 << 40, "changed"), ("b", 1, "removed"), ("c", 1, "added")]
+
+
 def test_peel_reports_an_overfull_table():
     n, cells = 200, 16
     rnd = np.random.default_rng(3)
@@ -209,58 +218,106 @@ def add(spark, t, rows):
     t.append(spark.createDataFrame(rows, "k int, v int, part int").repartition(5))
 
 
+def names(t, column="n_files"):
+    return {t._name(r): r[column] for r in t.files().collect()}
+
+
 def test_compaction_keeps_each_record_once(spark, tmp_path):
     t = file_table(spark, tmp_path)
     add(spark, t, [(i, i, i % 2) for i in range(100)] + [(i, i, i % 2) for i in range(50)] + [(None, 1, None), (None, 1, None)])
-    before = {r["part"]: r["n_files"] for r in t.files().collect()}
+    before = names(t)
     done = t.compact()
-    after = {r["part"]: r["n_files"] for r in t.files().collect()}
-    assert done["rows"] == 101 and before["part=0"] > 1 and set(after.values()) == {1}
+    assert done["rows"] == 101 and before["part=0"] > 1 and set(names(t).values()) == {1} and all(names(t, "clean").values())
     assert sorted(map(str, map(tuple, t.read().collect()))) == sorted(map(str, [(i, i, i % 2) for i in range(100)] + [(None, 1, None)]))
     assert t.compact()["rows"] == 0
 
 
-def test_compaction_leaves_other_partitions(spark, tmp_path):
+def test_compaction_leaves_well_sized_partitions(spark, tmp_path):
+    """Partitions in one file stay as they are, with the production threshold; their copies go on reading."""
     t = file_table(spark, tmp_path)
-    add(spark, t, [(i, i, 0) for i in range(20)])
     t.append(spark.createDataFrame([(1, 1, 1), (1, 1, 1)], "k int, v int, part int").coalesce(1))
-    marks = {r["part"]: r["mark"] for r in t.files().collect()}
+    add(spark, t, [(i, i, 0) for i in range(20)])
     assert t.compact()["parts"] == ["part=0"]
-    now = {r["part"]: r["mark"] for r in t.files().collect()}
-    assert now["part=1"] == marks["part=1"] and now["part=0"] != marks["part=0"]
+    assert names(t, "gens")["part=1"] == [1] and names(t, "clean") == {"part=0": True, "part=1": False}
     assert t.read().count() == 21
 
 
-def test_compaction_conflicts(spark, tmp_path):
+def test_append_during_a_compaction_is_kept(spark, tmp_path):
+    """A whole append, between what a compaction reads and what it publishes, and one claimed before and published after."""
+    t, other = file_table(spark, tmp_path), file_table(spark, tmp_path)
+    add(spark, t, [(i, i, 0) for i in range(20)])
+    early = other._claim()
+    write = t._write
+
+    def meanwhile(rows, gen):
+        add(spark, other, [(100 + i, 1, 0) for i in range(5)] + [(3, 9, 0)])
+        write(rows, gen)
+
+    t._write = meanwhile
+    t.compact()
+    assert names(t, "clean") == {"part=0": False}
+    other._write(spark.createDataFrame([(4, 4, 0), (200, 1, 0)], "k int, v int, part int"), early)
+    other._list(early)
+    other._create(f"done-{early:08d}", "{}")
+    keys = sorted(r.k for r in t.read().collect())
+    assert keys == sorted([*range(20), *range(100, 105), 200])
+    t._write = write
+    assert t.compact()["rows"] == 26 and sorted(r.k for r in t.read().collect()) == keys and {r.v for r in t.read().where("k = 3").collect()} == {9}
+
+
+def test_two_compactions_of_a_snapshot(spark, tmp_path):
     t, other = file_table(spark, tmp_path), file_table(spark, tmp_path)
     add(spark, t, [(i, i, 0) for i in range(20)])
-    base = t.version()
-    assert t._claim(base) == base + 1
+    publish = t._publish
+
+    def late(at, gen):
+        assert other.compact()["rows"] == 20
+        publish(at, gen)
+
+    t._publish = late
     with pytest.raises(Conflict):
-        other._claim(base)
-    t._withdraw(base + 1)
-    # files that came around the protocol between plan and rewrite are noticed
-    real = t._claim
+        t.compact()
+    assert t.read().count() == 20 and names(t, "clean") == {"part=0": True} and len(t.snapshot().compactions) == 1
+    assert not (tmp_path / "t" / "data" / "gen=2").exists()
 
-    def sneak(b):
-        n = real(b)
-        spark.createDataFrame([(99, 1, 0)], "k int, v int, part int").write.mode("append").partitionBy("part").parquet(t.data)
-        return n
 
-    t._claim = sneak
+def test_files_around_the_log_are_noticed(spark, tmp_path):
+    t = file_table(spark, tmp_path)
+    add(spark, t, [(i, i, 0) for i in range(20)])
+    before = t.snapshot()
+    stray = spark.createDataFrame([(99, 1)], "k int, v int")
+    stray.write.mode("append").parquet(f"{t.data}/gen=1/part=0")
     with pytest.raises(Conflict):
         t.compact()
-    assert t.version() == base and t.read().count() == 21
+    assert t.snapshot() == before
 
 
-def test_dead_writer_leaves_nothing_clean(spark, tmp_path):
+def test_readers_keep_their_snapshot(spark, tmp_path):
     t = file_table(spark, tmp_path)
     add(spark, t, [(i, i, 0) for i in range(20)])
+    old = t.snapshot()
+    rows = t.read(old)
+    add(spark, t, [(i, i, 0) for i in range(20, 30)])
     t.compact()
-    assert t.state()["clean"] == ["part=0"]
-    t._claim(t.version())  # a writer that appends, then dies before it says so
-    spark.createDataFrame([(1, 1, 0)], "k int, v int, part int").write.mode("append").partitionBy("part").parquet(t.data)
-    assert t.state()["clean"] == [] and t.read().count() == 20
+    assert rows.count() == t.read(old).count() == 20 and t.read().count() == 30
+    assert len(t.vacuum()) == 2 and t.read().count() == 30 and t.vacuum() == []
+
+
+def test_dead_writers_count_nothing(spark, tmp_path):
+    t = file_table(spark, tmp_path)
+    add(spark, t, [(i, i, 0) for i in range(20)])
+    dead = t._claim()  # an append that dies before it is published
+    t._write(spark.createDataFrame([(77, 1, 0)], "k int, v int, part int"), dead)
+    assert t.read().count() == 20 and t.compact()["rows"] == 20
+    assert t.vacuum(3600) == ["gen=1/part=0"] and t.vacuum(-1) == [f"gen={dead}"] and t.read().count() == 20
+    add(spark, t, [(i, i, 0) for i in range(20, 24)])
+    t._create("compact-00000002", "")  # a compaction that dies while it publishes
+    at = t.snapshot()
+    assert at.place == 2 and len(at.compactions) == 1
+    with pytest.raises(Conflict):
+        t.compact()
+    os.utime(tmp_path / "t" / "_log" / "compact-00000002", (1, 1))  # its lease has run out
+    assert t.compact()["rows"] == 24 and t.read().count() == 24
 
 
 def test_compaction_empty(spark, tmp_path):
@@ -270,9 +327,9 @@ def test_compaction_empty(spark, tmp_path):
     assert t.compact()["rows"] == 0 and t.read().count() == 0
 
 
-def test_compaction_sizes_files(spark, tmp_path):
+def test_compaction_sizes_files_in_rounds(spark, tmp_path):
     t = file_table(spark, tmp_path)
-    add(spark, t, [(i, i, 0) for i in range(5000)])
-    size = t.files().first()["n_bytes"]
-    t.compact(target_bytes=size // 4)
-    assert 2 <= t.files().first()["n_files"] <= 6 and t.read().count() == 5000
+    add(spark, t, [(i, i, i % 2) for i in range(5000)])
+    size = names(t, "n_bytes")["part=0"]
+    t.compact(target_bytes=size // 4, round_files=2)
+    assert all(2 <= n <= 6 for n in names(t).values()) and t.read().count() == 5000
