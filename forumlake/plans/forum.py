@@ -307,13 +307,16 @@ def mask_sizes(sp: SparkSession, d: str) -> DataFrame:
     return holes.mask_sizes(holes.words(holes.holes(_ids(sp, d))))
 
 
-@query("mask_merge", SQL + _HOLES + """, o as (select * from h where id % 2 = 0), n as (select * from h where id % 3 = 0), v as (select * from h where id % 5 <> 0 and id < 4000),
+@query("mask_merge", SQL + _HOLES + """, o as (select * from h where id % 2 = 0), n as (select * from h where id % 3 = 0), v as (select h.* from h join m using (type) where h.id % 5 <> 0 and h.id * 4 <= m.top * 3),
     w as (select type, (max(id) // 64 + 1) * 64 as size from v group by type)
     select h.type, h.id from h join w using (type) where h.id < w.size and
       (case when (h.type, h.id) in (select (type, id) from v) then h.id % 3 = 0 else h.id % 2 = 0 end)""")
 def mask_merge(sp: SparkSession, d: str) -> DataFrame:
-    h = holes.holes(_ids(sp, d))
-    old, new, seen = (holes.words(h.where(c)) for c in ("id % 2 = 0", "id % 3 = 0", "id % 5 <> 0 and id < 4000"))
+    """With a visited mask that ends at three quarters of each type's greatest id, so that holes beyond it are lost."""
+    i = _ids(sp, d)
+    h = holes.holes(i)
+    near = h.join(i.groupBy("type").agg(F.max("id").alias("top")), "type").where("id % 5 <> 0 and id * 4 <= top * 3").select("type", "id")
+    old, new, seen = holes.words(h.where("id % 2 = 0")), holes.words(h.where("id % 3 = 0")), holes.words(near)
     return holes.word_ids(holes.merge_masks(old, new, seen))
 
 
@@ -595,8 +598,8 @@ def health_freshness(sp: SparkSession, d: str) -> DataFrame:
 
 # -- documents, pages, streams -----------------------------------------------
 def _topic_documents(sp: SparkSession, d: str) -> DataFrame:
-    """The files that are topic documents (not lists of records), each body once."""
-    return documents.read_topics(table(sp, d, "raw_file").select("body").where("body is not null").distinct())
+    """The files that are topic documents (not lists of records), with a digest of their body."""
+    return documents.read_topics(table(sp, d, "raw_file").where("body is not null").select("body", F.sha2("body", 256).alias("digest")))
 
 
 _DOCS = r"""with b as (select distinct body from raw_file where body like '{%"postList"%' and json_valid(body)),
@@ -607,8 +610,9 @@ p as (select case kind when 'group' then 8 when 'subject' then 10 when 'ep' then
 
 @query("document_posts", _DOCS + " select type, id, mid, user_id as uid, dateline, state from p where coalesce(user_id, 1) <> 0")
 def document_posts(sp: SparkSession, d: str) -> DataFrame:
-    q = documents.all_posts(_topic_documents(sp, d)).where(S.is_real_author(F.col("user.id"), F.col("user.username")))
-    return q.select("type", "id", "mid", F.col("user.id").alias("uid"), "dateline", F.col("state").cast("int").alias("state"))
+    """A body that was delivered twice counts once: posts are one by its digest and their place in it, so no body is shuffled."""
+    q = documents.all_posts(_topic_documents(sp, d), "digest").where(S.is_real_author(F.col("user.id"), F.col("user.username")))
+    return q.dropDuplicates(["digest", "n", "m"]).select("type", "id", "mid", F.col("user.id").alias("uid"), "dateline", F.col("state").cast("int").alias("state"))
 
 
 @query("document_topic_state", _DOCS + " select type, topic_id as id, cast(bit_or(coalesce(state, 0) & 14) as bigint) as state from p group by 1, 2")
@@ -623,7 +627,7 @@ def document_last_post(sp: SparkSession, d: str) -> DataFrame:
 
 @query("dead_letters", """select count(*) as n from (select distinct body from raw_file where body is not null and trim(body, ' ') <> '') where not (body like '{%"postList"%' and json_valid(body))""")
 def dead_letters(sp: SparkSession, d: str) -> DataFrame:
-    return documents.dead_letters(_topic_documents(sp, d)).agg(F.count("*").alias("n"))
+    return documents.dead_letters(_topic_documents(sp, d)).agg(F.count_distinct("digest").alias("n"))
 
 
 @query("parse_topics")
@@ -640,7 +644,7 @@ def stream_ingest(sp: SparkSession, d: str) -> DataFrame:
     path = f"{d}/ba_post_snapshot.parquet"
     source = stream.parquet_stream(sp, path, schema).withColumnRenamed("snap_ts", "seq")
     stored = "type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint, first_seq bigint, last_seq bigint"
-    target = stream.SnapshotTable(sp, scratch(sp, "ingest"), stored)
+    target = stream.SnapshotTable(sp, scratch(sp, "ingest"), stored, ["type", "id", "mid"])
     stream.ingest(source, target, merge.fold_post_states, scratch(sp, "ingest-checkpoint"))
     return target.read().withColumn("sid", F.coalesce("sid", F.lit(0))).drop("first_seq", "last_seq")
 

@@ -46,14 +46,17 @@ def sid_of(topic: Column) -> Column:
     return F.when(~empty, F.when(F.lower(topic["space"]["type"]) == "blog", topic["uid"]).otherwise(string_hash(topic["space"]["name"])))
 
 
-def all_posts(topics: DataFrame) -> DataFrame:
-    """One row per post: each floor, then its sub-floors. type, topic_id and the post's fields; floor_of is its floor's id."""
-    p = topics.where("topic is not null").select(space_type_id(F.col("topic.space.type")).alias("type"), F.col("topic.id").alias("topic_id"), F.posexplode("topic.postList").alias("n", "p"))
+def all_posts(topics: DataFrame, *keep: str) -> DataFrame:
+    """One row per post: each floor, then its sub-floors. type, topic_id and the post's fields; floor_of is its floor's id.
+
+    keep: further columns to keep; then also the post's place, n (floor) and m (0, or sub-floor).
+    """
+    p = topics.where("topic is not null").select(*keep, space_type_id(F.col("topic.space.type")).alias("type"), F.col("topic.id").alias("topic_id"), F.posexplode("topic.postList").alias("n", "p"))
     own = [x.split(":")[0].strip() for x in _POST.replace(_USER, "x").split(",")]
     bare = lambda c: F.struct(*[c[f].alias(f) for f in own])
     both = F.concat(F.array(bare(F.col("p"))), F.coalesce(F.transform(F.col("p.subFloorList"), bare), F.array().cast(f"array<struct<{_POST}>>")))
-    rows = p.select("type", "topic_id", "n", F.col("p.id").alias("floor_of"), F.posexplode(both).alias("m", "q"))
-    return rows.select("type", "topic_id", "floor_of", F.col("q.*"))
+    rows = p.select(*keep, "type", "topic_id", "n", F.col("p.id").alias("floor_of"), F.posexplode(both).alias("m", "q"))
+    return rows.select(*keep, *(["n", "m"] if keep else []), "type", "topic_id", "floor_of", F.col("q.*"))
 
 
 def post_rows(topics: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def test_git_log(spark, tmp_path):
 def test_stream_ingest(spark, tmp_path):
     schema = "seq bigint, type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint"
     src = str(tmp_path / "src")
-    target = stream.SnapshotTable(spark, str(tmp_path / "t"), schema.replace("seq bigint, ", ""))
+    target = stream.SnapshotTable(spark, str(tmp_path / "t"), schema.replace("seq bigint, ", ""), ["type", "id", "mid"])
     assert target.read().count() == 0
     spark.createDataFrame([(1, 8, 1, 1, 5, 100, 0, None)], schema).write.mode("append").parquet(src)
     run = lambda: stream.ingest(stream.parquet_stream(spark, src, schema), target, merge.upsert_posts, str(tmp_path / "c"))
@@ -130,13 +130,68 @@ def test_stream_ingest(spark, tmp_path):
     run()
     want = [(8, 1, 1, 5, 100, 1, 7), (8, 2, 1, 6, 200, 1, 7)]
     assert sorted(map(tuple, target.read().collect())) == want
-    (tmp_path / "t" / "v-00000099").mkdir()  # a writer that died
+    (tmp_path / "t" / "_versions" / "00000099.json").touch()  # a writer that died
     assert sorted(map(tuple, target.read().collect())) == want
     stream.reset(spark, str(tmp_path / "c"))
     run()  # all deliveries again: the same rows
     assert sorted(map(tuple, target.read().collect())) == want
 
 
+def test_a_batch_applied_twice_changes_nothing(spark, tmp_path):
+    """For the rules of all tables, also those that count versions."""
+    topics = "type int, id int, uid bigint, sid bigint, dateline bigint, state int, top_post_pid bigint, last_post_pid bigint, title string"
+    cases = {
+        "topics": (topics, ["type", "id"], merge.upsert_topics, [(8, i, None, 1, 5, i % 2, 1, None, "t") for i in range(6)]),
+        "posts": ("type int, id int, mid int, uid bigint, dateline bigint, state int, sid bigint", ["type", "id", "mid"], merge.upsert_posts, [(8, i, 1, None, 5, i % 2, None) for i in range(6)]),
+        "users": ("id bigint, username string, nickname string", ["id"], merge.upsert_users, [(i, f"u{i}", None) for i in range(6)]),
+        "naming": ("type int, sid bigint, name string, display_name string", ["type", "sid"], merge.upsert_naming, [(8, i, "n", None) for i in range(6)]),
+    }
+    for name, (schema, keys, rule, rows) in cases.items():
+        target = stream.SnapshotTable(spark, str(tmp_path / name), schema, keys, buckets=3)
+        run = stream.merge_batch(target, rule, stream="s")
+        batches = [spark.createDataFrame([(k, *r) for r in rows[: 3 + 2 * k]], "seq bigint, " + schema) for k in (0, 1)]
+        run(batches[0], 0)
+        run(batches[1], 1)
+        once = sorted(map(str, target.read().collect()))
+        for k in (0, 1):
+            run(batches[k], k)
+        assert sorted(map(str, target.read().collect())) == once and len(once) == 5, name
+    assert {r.last_post_pid for r in stream.SnapshotTable(spark, str(tmp_path / "topics"), topics, ["type", "id"], 3).read().where("id < 3").collect()} == {-1}
+    assert {r.last_post_pid for r in stream.SnapshotTable(spark, str(tmp_path / "topics"), topics, ["type", "id"], 3).read().where("id > 2").collect()} == {None}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    target = stream.SnapshotTable(spark, str(tmp_path / "t"), "id bigint, username string, nickname string", ["id"], buckets=4)
+    run = stream.merge_batch(target, merge.upsert_users)
+    run(spark.range(40).selectExpr("0L as seq", "id", "'a' as username", "'b' as nickname"), 0)
+    first = target.version()["gens"]
+    run(spark.range(1).selectExpr("1L as seq", "id", "'c' as username", "'d' as nickname"), 1)
+    second = target.version()["gens"]
+    assert sum(first[b] != second[b] for b in first) == 1 and target.read().count() == 40 and target.read().where("username = 'c'").count() == 1
+
+
+def test_documents_are_ingested_with_tombstones_and_dead_letters(spark, tmp_path):
+    src, check = str(tmp_path / "src"), str(tmp_path / "c")
+    tables = stream.DocumentTables(spark, str(tmp_path / "t"), buckets=2)
+
+    def deliver(*rows):
+        spark.createDataFrame(rows, "body string, at bigint").coalesce(1).write.mode("append").parquet(src)
+        stream.ingest_documents(stream.parquet_stream(spark, src, "body string, at bigint", 1), tables, check)
+
+    deliver((DOC, 1), ("{broken", 1), (DOC.replace('"state": 4', '"state": 5'), 0))
+    assert [r.body for r in tables.dead_letters().collect()] == ["{broken"]
+    assert sorted(map(tuple, tables.posts.read().collect())) == [(21, 71, 7, 9, 5, 2), (21, 72, 7, -148452161, 6, 4), (21, 73, 7, 0, 7, 1)]
+    assert sorted(map(tuple, tables.likes.read().collect())) == [(21, 7, -7, 0, 2), (21, 7, 72, 79, 1)]
+    later = DOC.replace(', "72": [{"main_id": 7, "value": 79, "total": 1}]', "").replace('{"id": 72, "user": {"username": "boring"}, "mid": 7, "state": 4, "dateline": 6}', "").replace('"state": 2', '"state": 0')
+    deliver((later, 2))
+    posts, likes = sorted(map(tuple, tables.posts.read().collect())), sorted(map(tuple, tables.likes.read().collect()))
+    assert posts == [(21, 71, 7, 9, 5, 0), (21, 72, 7, -148452161, 6, 1), (21, 73, 7, 0, 7, 1)] and likes == [(21, 7, -7, 0, 2), (21, 7, 72, 79, 0)]
+    name = stream.stream_name(spark, check)
+    batch = spark.createDataFrame([(DOC, 1), ("{broken", 1)], "body string, at bigint")
+    stream.document_batch(tables, stream=name)(batch, 0)  # the first batch again, after a failure
+    assert sorted(map(tuple, tables.posts.read().collect())) == posts and sorted(map(tuple, tables.likes.read().collect())) == likes and tables.dead_letters().count() == 1
+
+
 def test_stream_ingest_in_batches(spark, tmp_path, monkeypatch):
     """More files than a batch takes, the deliveries in no order across them: the same as the SQL over all."""
     import os
@@ -156,6 +211,6 @@ def test_stream_ingest_in_batches(spark, tmp_path, monkeypatch):
         os.utime(src / f"part-{k:05d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
     batches = []
     replace = stream.SnapshotTable.replace
-    monkeypatch.setattr(stream.SnapshotTable, "replace", lambda self, rows: (batches.append(1), replace(self, rows))[1])
+    monkeypatch.setattr(stream.SnapshotTable, "replace", lambda self, *a: (batches.append(1), replace(self, *a))[1])
     assert assert_same(spark, connect(str(tmp_path / "in")), str(tmp_path / "in"), forum.QUERIES["stream_ingest"], forum.ORACLES["stream_ingest"]) == 3
     assert len(batches) > 1
