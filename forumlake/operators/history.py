@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumlake.functions.scalars import message_space, timestamp_hint
+
 
 def asof_floor(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str = "at", ts: str = "ts") -> DataFrame:
     """Each request (keys, at) with the greatest version not after it, or the key's first version."""
@@ -48,6 +50,27 @@ def pair_commits(pages: DataFrame, documents: DataFrame, keys: Sequence[str]) ->
     return exact.join(near, [*keys, "ts"], "left").withColumn("document_ts", F.coalesce("document_ts", "near_ts")).drop("near_ts")
 
 
+def timeline(pages: DataFrame, documents: DataFrame, lines: DataFrame, keys: Sequence[str], topic: str = "mid") -> DataFrame:
+    """The versions of topics: keys, ts, page_ts, document_ts.
+
+    pages and documents are paired as in `pair_commits`; unpaired pages are left out. lines: page_ts,
+    id, ts are what the commits' own lists of exact moments say (of a repeated id the last line,
+    `lines.timestamps`). A page's moment is its topic's in its commit's list; where the list is empty
+    or lacks the topic, it is the commit's hint. Of pages with equal moments the last commit stands.
+    """
+    keys = list(keys)
+    paired = pair_commits(pages, documents, keys).where("document_ts is not null")
+    exact = lines.select(F.col("page_ts").alias("ts"), F.col("id").alias(topic), F.col("ts").alias("__fl_exact"))
+    at = paired.join(exact, ["ts", topic], "left").withColumn("__fl_at", F.coalesce("__fl_exact", "hint"))
+    last = at.groupBy(*keys, "__fl_at").agg(F.max("ts").alias("page_ts"), F.max_by("document_ts", "ts").alias("document_ts"))
+    return last.select(*keys, F.col("__fl_at").alias("ts"), "page_ts", "document_ts")
+
+
+def content_at(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str = "at", ts: str = "ts") -> DataFrame:
+    """Each request (keys, at) with its version by `asof_floor`, and the other columns of that version (keys and ts identify one)."""
+    return asof_floor(requests, versions, keys, at, ts).join(versions, [*keys, ts])
+
+
 #: Slots that the time from the first to the last blocked moment is cut into.
 BLOCK_SLOTS = 1 << 16
 
@@ -108,9 +131,20 @@ def file_index(commits: DataFrame) -> DataFrame:
 
 
 def commits_of(index: DataFrame, path: str) -> DataFrame:
+    """The commits that changed a path."""
     return index.where(F.col("path") == path)
 
 
+def path_log(commits: DataFrame) -> DataFrame:
+    """repo_id, path, n_commits, first_ts, last_ts, spaces (how many the messages name) over the commits that changed each path.
+
+    commits: repo_id, commit_id, paths, msg, is_first, committed, authored; the moment is the message's hint.
+    """
+    own = commits.select("repo_id", "commit_id", timestamp_hint("msg", "committed", "authored").alias("ts"), message_space("msg").alias("space"))
+    logged = file_index(commits).join(own, ["repo_id", "commit_id"])
+    return logged.groupBy("repo_id", "path").agg(F.count("*").alias("n_commits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("space").alias("spaces"))
+
+
 def freshness(repos: DataFrame, now: int, minutes: int = 15) -> DataFrame:
     """Whether a repository's last commit (seconds) is older than it may be; static and old ones are exempt."""
     exempt = F.col("is_static") | F.col("name").contains("old")

@@ -144,6 +144,24 @@ def spot_check_sample(unmasked: DataFrame, wanted: int, seed: int = 0, low: int
     return unmasked.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("type", "id")
 
 
+#: So many unchecked ids are the last ones of a type: all of them are taken, and its checked mask begins anew (a fixed value).
+LAST_IDS = 64
+
+
+def spot_check_round(unchecked: DataFrame, checked: DataFrame, wanted: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(what to look at, the checked mask afterwards), both type, id.
+
+    unchecked: ids neither checked nor hidden. Of a type with at most LAST_IDS of them all are taken,
+    and afterwards nothing of it is checked; of others `spot_check_sample` is, which joins the mask.
+    """
+    n = unchecked.groupBy("type").agg(F.count("*").alias("n"))
+    last = n.where(F.col("n") <= LAST_IDS).select("type")
+    rest = unchecked.join(last, "type", "left_anti")
+    taken = unchecked.join(last, "type", "left_semi").select("type", "id").unionByName(spot_check_sample(rest, wanted, seed))
+    mask = checked.select("type", "id").unionByName(taken).distinct().join(last, "type", "left_anti")
+    return taken, mask
+
+
 # Types whose mask always leaves id 0 clear, so that small holes are visited again.
 REVISITED_TYPES = (8, 10, 21)
 

@@ -2,11 +2,12 @@
 
 import pytest
 
+import forumlake.plans.archive as archive
 import forumlake.plans.forum as forum
 import forumlake.plans.problems as problems
 from tests.oracle import assert_same, connect
 
-QUERIES, ORACLES = forum.QUERIES | problems.QUERIES, forum.ORACLES | problems.ORACLES
+QUERIES, ORACLES = forum.QUERIES | archive.QUERIES | problems.QUERIES, forum.ORACLES | archive.ORACLES | problems.ORACLES
 
 
 @pytest.fixture(scope="module")
