@@ -19,10 +19,14 @@ TOPIC_SCHEMA = (
 
 
 def read_topics(texts: DataFrame, body: str = "body") -> DataFrame:
-    """topic (struct, null where the text is no topic document) beside the other columns; the space type in lower case."""
-    t = F.from_json(F.col(body), TOPIC_SCHEMA, {"mode": "PERMISSIVE"})
-    ok = t["id"].isNotNull() & t["postList"].isNotNull()
-    return texts.withColumn("topic", F.when(ok, t))
+    """topic (struct, null where the text is no topic document) beside the other columns.
+
+    Each text is parsed once: what a generator yields is not replaced by its expression in later filters and projections.
+    """
+    rest = [c for c in texts.columns if c != "topic"]
+    read = texts.select(*rest, F.explode(F.array(F.from_json(F.col(body), TOPIC_SCHEMA, {"mode": "PERMISSIVE"}))).alias("__fl_t"))
+    ok = F.col("__fl_t.id").isNotNull() & F.col("__fl_t.postList").isNotNull()
+    return read.select(*rest, F.when(ok, F.col("__fl_t")).alias("topic"))
 
 
 def write_topics(topics: DataFrame, path: str) -> None:
@@ -95,7 +99,7 @@ def naming_rows(topics: DataFrame) -> DataFrame:
     top = F.try_element_at(F.filter(t["postList"], lambda p: p["id"] == t["topPostPid"]), F.lit(1))["user"]
     blog = F.lower(t["space"]["type"]) == "blog"
     r = topics.where("topic is not null").select(
-        space_type_id(t["space"]["type"]).alias("type"), F.when(blog, F.coalesce(sid_of(t), top["id"])).otherwise(sid_of(t)).cast("bigint").alias("sid"),
+        space_type_id(t["space"]["type"]).alias("type"), F.explode(F.array(F.coalesce(sid_of(t), F.when(blog, top["id"])).cast("bigint"))).alias("sid"),
         F.when(blog, top["username"]).otherwise(t["space"]["name"]).alias("name"), F.when(blog, F.coalesce(top["nickname"], F.lit(""))).otherwise(t["space"]["displayName"]).alias("display_name"),
     )
     return r.where("sid is not null and name is not null and display_name is not null").distinct()
