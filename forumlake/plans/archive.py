@@ -15,7 +15,7 @@ from forumlake.plans import model as M
 from forumlake.plans.model import AS_OF, SQL
 from forumlake.schema import SPACE_TYPES
 from forumlake.session import scratch, table
-from forumlake.sources import documents, lines
+from forumlake.sources import documents, lines, topic_parsers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -327,3 +327,76 @@ def scalars_times(sp: SparkSession, d: str) -> DataFrame:
     aired = F.concat(F.lit("时长:24m / 首播:"), F.date_format(F.timestamp_seconds("sec"), "yyyy-MM-dd"))
     ms = F.when(F.col("n") % 2 == 0, -F.col("n") * 1000).otherwise(F.col("n") * 1000)
     return e.select("n", S.post_second(local).alias("read"), S.human_moment(F.col("sec") * 1000).alias("shown"), S.on_air_second(aired).alias("aired"), S.human_duration(ms).alias("took"))
+
+
+# -- pages -------------------------------------------------------------------
+def made_pages(sp: SparkSession, d: str) -> DataFrame:
+    """A page of each topic, in the form of its space type: the first post or description, a comment, and an answer to it."""
+    t = M.topics(sp, d).where("id > 0").select("type", "id", "uid", "sid", F.coalesce("dateline", F.lit(1_700_000_000)).alias("sec"))
+    n = F.col("id").cast("string")
+
+    def moment(plus: int):
+        return F.date_format(F.timestamp_seconds(F.col("sec") + 8 * 3600 + plus), "yyyy-M-d HH:mm")
+
+    def post(cls: str, no: int, floor: str, text: str, more="", plus: int = 60):
+        user = F.concat(F.lit("w"), F.col("id") % 50)
+        return F.concat(
+            F.lit(f'<div class="{cls}" id="post_'), F.col("id") * 10 + no, F.lit('" data-item-user="'), user, F.lit(f'" name="floor-{floor}"><div class="post_actions re_info"><div class="action"><small>#{floor} - '), moment(plus),
+            F.lit('</small></div></div><a href="/user/'), user, F.lit('" class="avatar"><span style="background-image:url(\'//pic.example/l/000/'), F.when(F.col("id") % 3 == 0, F.concat(n, F.lit(".jpg"))).otherwise("icon.jpg"),
+            F.lit(f'\')"></span></a><div class="inner"><strong><a href="/user/x">N&amp;'), user, F.lit('</a></strong> <span class="tip_j">(sign)</span>'), F.lit(text), F.lit(more) if isinstance(more, str) else more, F.lit("</div></div>"),
+        )
+
+    sub = post("sub_reply", 2, "2-1", '<div class="cmt_sub_content">so <b>it</b> is<br></div>')
+    badge = F.when(F.col("id") % 5 == 0, F.concat(F.lit('<div class="row_reply" id="post_'), F.col("id") * 10 + 3, F.lit('"><div><span class="tip_j">'), moment(120), F.lit('</span></div><a class="avatar" href="/user/mod"></a><div class="inner"><strong><a>M</a></strong><span class="badgeStateClosed">x</span></div></div>'))).otherwise("")
+    answer = post("row_reply", 1, "2", '<div class="reply_content"><div class="message"><span class="tip_collapsed">删除了回复</span></div><div class="topic_sub_reply">', F.concat(sub, F.lit("</div></div>")))
+    comments = F.concat(F.lit('<div id="comment_list">'), answer, F.when(F.col("type").isin(8, 10), badge).otherwise(""), F.lit("</div>"))
+    head = F.concat(F.lit('<html><head><link href="/css?r430"><script>\n  var data_likes_list = {"'), n, F.lit('":[]};\n</script></head><body>\n'))
+    forum_page = F.concat(
+        F.lit('<div id="pageHeader"><h1><span><a href="/group/g'), F.col("sid"), F.lit('" class="avatar">Space '), F.col("sid"), F.lit("</a></span> T "), n, F.lit("</h1></div>"),
+        post("postTopic light_odd", 0, "1", '<div class="topic_content">Hello &amp; <i>you</i></div>', plus=0), comments,
+    )
+    ep = F.concat(
+        F.lit('<div id="headerSubject"><h1><a href="/subject/'), F.col("sid"), F.lit('">Work</a></h1></div><div id="columnEpA"><h2>T '), n, F.lit(' <small><a href="/ep/'), n,
+        F.lit('">more</a></small></h2><div class="epDesc">told <span class="tip">时长:24m / 首播:'), F.date_format(F.timestamp_seconds("sec"), "yyyy-MM-dd"), F.lit("</span></div></div>"), comments,
+    )
+    mono = F.concat(F.lit('<div id="headerSubject"><h1><a href="/mono/'), n, F.lit('">T '), n, F.lit('</a></h1></div><div id="columnCrtB"><div class="detail">told</div></div>'), comments)
+    blog = F.concat(
+        F.lit('<div class="author user-card"><a><img src="//pic.example/'), n, F.lit('_x.jpg"></a><div class="title"><p><a href="/user/w'), F.col("id") % 50, F.lit('">Me</a></p></div></div><h1 class="title">T '), n, F.lit('</h1><div class="time">'), moment(0),
+        F.lit(' · 3 reads</div><div id="entry_content">told</div><div class="tags"><a>a</a> <a>b</a></div><div class="entry-related-subjects"><a href="/subject/'), n, F.lit('">x</a></div>'), comments,
+    )
+    gone = F.lit('<div id="colunmNotice"><div><p class="text">no such topic</p></div></div>')
+    body = F.when(F.col("id") % 13 == 0, gone).when(F.col("type").isin(8, 10), forum_page).when(F.col("type") == 11, ep).when(F.col("type") == 21, blog).otherwise(mono)
+    page = F.when(F.col("id") % 17 == 0, F.lit("<html><body>502</body></html>")).otherwise(F.concat(head, body, F.lit("</body></html>")))
+    return t.where("sid is not null or type in (21, 200, 300)").select(F.col("id").cast("bigint").alias("page_id"), "type", "id", page.alias("contentHtml"))
+
+
+_PAGES = SQL + """, g as (select type, id, sid, coalesce(dateline, 1700000000) as sec from t where id > 0 and (sid is not null or type in (21, 200, 300))),
+    x as (select *, case when id % 17 = 0 then 'unparsed' when id % 13 = 0 then 'deleted' else 'ok' end as status, type in (8, 10) as forum, type in (200, 300) as mono, sec - sec % 60 as minute, (sec // 86400) * 86400 as day from g)"""
+
+
+@query("page_topics", _PAGES + """select type, id, status, case when status = 'ok' then 'T ' || id end as title, case status when 'ok' then case when forum and id % 5 = 0 then 2 else 0 end when 'deleted' then 1 end as state,
+    case status when 'ok' then not (forum and id % 5 = 0) when 'deleted' then false end as display, case when status = 'ok' then case when type = 11 then day when not mono then minute end end as dateline,
+    case when status = 'ok' then case when forum then case when id % 3 = 0 then id end when type = 21 then id else 0 end end as uid, case when status = 'ok' then case when forum then id * 10 else -id end end as top_post_pid,
+    case when status = 'ok' then case when forum then 'g' || sid when type = 11 then cast(sid as varchar) when mono then cast(id as varchar) end end as space,
+    case when status = 'ok' then case when forum then 'Space ' || sid when type = 11 then 'Work' when mono then 'T ' || id end end as space_name, case when status = 'ok' and type = 21 then 'a,b' else '' end as tags,
+    case when status = 'ok' and type = 21 then id end as subject, case when status <> 'unparsed' then '{"' || id || '":[]}' end as likes from x""")
+def page_topics(sp: SparkSession, d: str) -> DataFrame:
+    t = topic_parsers.parse_topics(made_pages(sp, d))
+    return t.select(
+        "type", "id", "status", "title", "state", "display", "dateline", "uid", "top_post_pid", "space", "space_name", F.array_join("tags", ",").alias("tags"), F.try_element_at("related_subjects", F.lit(1)).alias("subject"), "likes"
+    )
+
+
+@query("page_posts", _PAGES + """, o as (select * from x where status = 'ok'), f as (
+    select type, id as topic, case when forum then id * 10 else -id end as id, case when forum then 1 else 0 end as floor, null as sub, null as related, case when forum then case when id % 3 = 0 then id end when type = 21 then id else 0 end as uid,
+      case when forum or type = 21 then 'w' || id % 50 else '_pseudo_writer' end as username, case when forum then 'N&w' || id % 50 when type = 21 then 'Me' else '_pseudo_writer' end as nickname, case when forum then 'sign' end as sign,
+      case when mono then 0 when type = 11 then day else minute end as dateline, 0 as state, case when forum then 'Hello &amp; <i>you</i>' when type = 11 then null else 'told' end as html from o
+    union all select type, id, id * 10 + 1, 2, null, null, case when id % 3 = 0 then id end, 'w' || id % 50, 'N&w' || id % 50, 'sign', (sec + 60) // 60 * 60, 1, '<span class="tip_collapsed">删除了回复</span>' from o
+    union all select type, id, id * 10 + 2, 2, 1, id * 10 + 1, case when id % 3 = 0 then id end, 'w' || id % 50, 'N&w' || id % 50, 'sign', (sec + 60) // 60 * 60, 0, 'so <b>it</b> is<br>' from o
+    union all select type, id, id * 10 + 3, 3, null, null, null, 'mod', 'M', null, (sec + 120) // 60 * 60, 2, '<strong><a>M</a></strong><span class="badgeStateClosed">x</span>' from o where forum and id % 5 = 0)
+    select * from f""")
+def page_posts(sp: SparkSession, d: str) -> DataFrame:
+    t = topic_parsers.parse_topics(made_pages(sp, d)).select("type", F.col("id").alias("topic"), F.explode("posts").alias("p"))
+    pseudo_ep = (F.col("type") == 11) & (F.col("p.username") == topic_parsers.NOBODY)  # its text holds the date it was aired
+    names = ("id", "floor", "sub", "related", "uid", "username", "nickname", "sign", "dateline", "state")
+    return t.select("type", "topic", *[F.col(f"p.{c}").alias(c) for c in names], F.when(~pseudo_ep, F.col("p.html")).alias("html"))
