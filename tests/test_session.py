@@ -50,3 +50,9 @@ def test_spread_moves_small_inputs_only(spark, sf, monkeypatch):
     assert "Exchange" in session.spread(df)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(session, "SPREAD_BYTES", 0)
     assert "Exchange" not in session.spread(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_input_bytes_are_not_multiplied_by_joins(spark, sf):
+    a, b = (session.table(spark, sf, t) for t in ("ba_user", "ba_topic"))
+    one, other = session.input_bytes(a), session.input_bytes(b)
+    assert 0 < one and session.input_bytes(a.join(b, a["id"] == b["uid"])) == one + other
