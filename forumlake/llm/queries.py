@@ -54,11 +54,24 @@ def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
     return named_statistics(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics}
+def p9_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics that are plain counts: characters, lines that show something, digits."""
+    s = named_statistics(table(spark, root, "documents"))
+    n_chars, n_lines = (F.round(F.exp(c) - 1).cast("bigint") for c in ("log_chars", "log_lines"))
+    return s.select("doc_id", n_chars.alias("n_chars"), n_lines.alias("n_lines"), (F.col("digit_share") > 0).alias("has_digits"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts}
 
 _SEC = "nullif(case when dateline > 100000000000 then dateline // 1000 else dateline end, 0)"
 
+_SHOWN = r"[^\s\p{Z}\x0b\x1c-\x1f\x85]"
+
 ORACLES = {
+    "p9_counts": rf"""
+select doc_id, length(text) as n_chars, cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SHOWN}'))) as bigint) as n_lines,
+       regexp_matches(text, '\p{{N}}') as has_digits
+from documents where regexp_matches(text, '{_SHOWN}')""",
     "p4_found": f"""
 with p as (select distinct type, id, mid, uid, {_SEC} as sec from ba_post),
 l as (select type, id, max(sec) as sec from p group by type, id),

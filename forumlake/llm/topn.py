@@ -18,7 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forumlake.session import materialise
+from forumlake.session import input_bytes, materialise, ship
+
+#: Bytes of a partition of the sort, on average, and how much larger items are there than in files.
+PARTITION_BYTES, GROWN = 128 << 20, 3
 
 GROUP, ITEM = ("g1", "g2"), ("score", "item", "tie1", "tie2")
 _COLS = (*GROUP, *ITEM)
@@ -77,8 +80,10 @@ def top_n(spark: SparkSession, items: DataFrame, top: int, partitions: int | Non
     Defined cases: rows with a null in any of the six don't rank; equal rows are one item
     (they are neighbours after the sort, always in one partition); top < 1 or no items give no
     row; other columns are ignored. The order is total, so every run gives the same rows.
+    partitions: of the sort; as many as the input's size asks for, unless given.
     """
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(items) * GROWN // PARTITION_BYTES))
     rows = items.select(*[F.col(c).cast("bigint").alias(c) for c in _COLS]).dropna()
     order = [F.col("g1"), F.col("g2"), F.col("score").desc(), F.col("item").desc(), F.col("tie1"), F.col("tie2")]
     ranked = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_numbered(top), _OUT)
