@@ -103,10 +103,18 @@ def message_space(msg: Column | str) -> Column:
     return F.upper(F.split(_col(msg), " ")[0])
 
 
-def timestamp_hint(msg: Column | str, committed: Column | str, authored: Column | str) -> Column:
-    """Milliseconds after the message's last bar; without a number there, the earlier of the commit's two times."""
-    parts = F.split(_col(msg), r"\|")
-    return F.coalesce(F.trim(F.element_at(parts, -1)).try_cast("bigint"), F.least(_col(committed), _col(authored)))
+def timestamp_hint(msg: Column | str, committed: Column | str, authored: Column | str, strict: bool = False) -> Column:
+    """Milliseconds after the message's last bar; without a number there, the earlier of the commit's two times.
+
+    strict: a message without a bar is an error, unless it begins with META or init.
+    """
+    m = _col(msg)
+    parts, own = F.split(m, r"\|"), F.least(_col(committed), _col(authored))
+    hint = F.coalesce(F.trim(F.element_at(parts, -1)).try_cast("bigint"), own)
+    if not strict:
+        return hint
+    bare = (F.size(parts) == 1) & ~m.rlike("(?i)^(meta|init)")
+    return F.when(bare, F.raise_error(F.concat(F.lit("no timestamp in commit message: "), m))).otherwise(hint)
 
 
 def on_air_second(text: Column | str) -> Column:
@@ -149,8 +157,8 @@ def is_empty_topic(state: Column | str, n_posts: Column | str, top: Column | str
 
 
 def is_real_author(uid: Column | str, username: Column | str) -> Column:
-    """Not the writer that pages without an author have."""
-    return (F.coalesce(_col(uid), F.lit(2_147_483_647)) != 0) & (F.coalesce(_col(username), F.lit("_INVALID_")) != "_pseudo_writer")
+    """Not the writer that pages without an author have: id 0, or a fixed name. An unknown id or name is somebody's."""
+    return ~_col(uid).eqNullSafe(F.lit(0)) & ~_col(username).eqNullSafe(F.lit("_pseudo_writer"))
 
 
 def for_display(html: Column | str, host: str, own_host: str, script: str) -> Column:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forumlake.session import ship
+
 #: Cells of the dense entity-by-day matrix that a task works on at once (8 bytes each).
 CELLS = 2_000_000
 
@@ -78,6 +80,7 @@ def rolling_totals(
     are left out; an empty input gives no row; a null value counts as 0.
     Returns entity, day, value, total_<w>, avg_<w> for each window.
     """
+    ship(daily.sparkSession)
     windows = tuple(int(w) for w in windows)
     rows = daily.select(
         F.col("entity").cast("bigint").alias("entity"), F.col("day").cast("int").alias("day"), F.coalesce(F.col("value").cast("bigint"), F.lit(0)).alias("value")

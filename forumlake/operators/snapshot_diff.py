@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlake.session import materialise
+from forumlake.session import materialise, ship
 
 HASHES = 4
 #: Rows of one delivery that a bucket holds on average.
@@ -261,6 +261,7 @@ def snapshot_changes(
     don't differ, null and a value do; a single delivery, or none, gives no row; a delivery that
     misses a key between two that have it gives removed, then added.
     """
+    ship(spark)
     per = snapshots.where(F.col(order).isNotNull()).groupBy(F.col(order).alias("at")).agg(F.count("*").alias("n"))
     found = sorted((r[0], r[1]) for r in per.collect())  # one row per delivery
     buckets = max(1, -(-max((n for _, n in found), default=0) // bucket_rows))

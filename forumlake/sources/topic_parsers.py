@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from forumlake.functions import scalars as S
 from forumlake.schema import SPACE_TYPES, STATE
+from forumlake.session import ship
 
 _TOKEN = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -279,6 +280,7 @@ def parse_topics(pages: DataFrame) -> DataFrame:
     pages: page_id bigint, type int, id int, contentHtml string. Null pages and unknown types give no
     row; a page on which nothing is found has the status `unparsed`.
     """
+    ship(pages.sparkSession)
     names = {v: k for k, v in SPACE_TYPES.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

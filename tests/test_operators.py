@@ -20,7 +20,7 @@ def one(spark, expr, **values):
 
 @pytest.mark.parametrize(
     ("name", "want"),
-    [("boring", -148452161), ("sai", -793020589), ("trim21", -526799695), ("123", 123), ("-5", -5), ("007", -232241559), ("", 0), ("茶话会", -341817533), ("a😀b", -902471888)],
+    [("lumen", -677341953), ("harbor9", -781441753), ("Ａ", -65313), ("123", 123), ("-5", -5), ("007", -232241559), ("", 0), ("茶话会", -341817533), ("a😀b", -902471888)],
 )
 def test_string_hash(spark, name, want):
     assert one(spark, S.string_hash("s"), s=name) == want
@@ -44,6 +44,9 @@ def test_scalars(spark):
         one(spark, S.id_path("i"), i=-1)
     assert one(spark, S.timestamp_hint("m", "a", "b"), m="GROUP TOPIC: … | 1700000000000", a=5, b=4) == 1700000000000
     assert one(spark, S.timestamp_hint("m", "a", "b"), m="META: Init.", a=5, b=4) == 4
+    assert one(spark, S.timestamp_hint("m", "a", "b", strict=True), m="Init.", a=5, b=4) == 4
+    with pytest.raises(Exception, match="no timestamp"):
+        one(spark, S.timestamp_hint("m", "a", "b", strict=True), m="GROUP TOPIC: x", a=5, b=4)
     assert one(spark, S.uid_from_style("s"), s="background-image:url('//x/000/00/01/10001.jpg')") == 10001
     assert one(spark, S.uid_from_style("s"), s="none") is None
     assert one(spark, S.style_revision("s"), s='<link href="/min/g=css?r412">') == 412 and one(spark, S.style_revision("s"), s="") == 398

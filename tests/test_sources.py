@@ -6,8 +6,8 @@ import subprocess
 from pyspark.sql import functions as F
 
 from forumlake.operators import holes, merge
-from forumlake.sources import documents, lines, topic_pages
-from forumlake.sources.git_log import GitLogSource
+from forumlake.sources import documents, lines, topic_pages, topic_parsers
+from forumlake.sources.git_log import GitLogSource, commits, decode
 from forumlake.streaming import ingest as stream
 
 DOC = """{"id": 7, "uid": null, "title": "t", "dateline": 5, "display": true, "topPostPid": 71, "state": 0,
@@ -77,6 +77,37 @@ def test_topic_pages(spark):
     assert rows[2].state == 1 and (rows[3].username, rows[3].floor, rows[3].sub) == ("u3", 2, 1)
 
 
+GROUP = """<html><body><div id="pageHeader"><h1><span><a class="avatar" href="/group/g5">Space</a></span> A &amp; B</h1></div>
+<div class="postTopic" id="post_1" data-item-user="u1"><div class="re_info"><small>#1 - 2023-3-7 00:34</small></div><a class=avatar href=/user/u1><span style="background:url('//x/l/000/12_a.jpg')"></span></a>
+<div class="inner"><strong><a href="/user/u1">One</a></strong><span class="tip_j">(hi)</span><div class="topic_content">Hello<br> <b>you</b></div></div></div>
+<div id="comment_list"><div class="row_reply" id="post_2" data-item-user="77"><div class="re_info"><small>#2 - 2023-3-7 01:00</small></div><div class="inner"><strong><a>Two</a></strong>
+<div class="reply_content"><div class="message"><span class="tip_collapsed">删除了回复</span></div><div class="topic_sub_reply">
+<div class="sub_reply" id="post_3" data-item-user="u3"><div class="re_info"><small>#2-1 - 2023-3-7 02:00</small></div><div class="inner"><div class="cmt_sub_content">sub</div></div></div><div>folded</div></div></div></div></div>
+<div id="post_4" class="row_reply"><div><span class="tip_j">2023-3-7 03:00</span></div><a class="avatar" href="/user/mod"></a><div class="inner"><strong><a>Mod</a></strong><span class="badgeStateSilent">x</span></div></div>
+<div id="post_5"><div class="inner">nobody</div></div></div></body></html>"""
+
+
+def test_topic_parsers(spark):
+    pages = [
+        (1, 8, 7, GROUP), (2, 10, 7, GROUP), (3, 8, 7, None), (4, 99, 7, GROUP), (5, 8, 7, ""), (6, 21, 7, "<div id=colunmNotice><div><p class=text>no</p></div></div>"),
+        (7, 21, 7, '<div id="column_container"><div><h1>moved</h1></div></div>'), (8, 21, 7, '<div id="wrapperClub"><div class="clubMain"></div></div>'),
+        (9, 11, 7, '<div id="headerSubject"><h1><a href="/subject/3">Work</a></h1></div><div id="columnEpA"><h2>ep.1 First <small><a href="/ep/70">x</a></small></h2><div class="epDesc">told <span class="tip">首播:2024-02-30</span></div></div>'),
+        (10, 200, 7, '<div id="headerSubject"><h1><a href="/person/9">Name</a></h1></div>'), (11, 300, 7, "<div" * 2000 + "<p>" * 3000), (12, 21, 7, '<h1 class="title">T</h1><div id="entry_content">e</div>'),
+    ]
+    rows = {r.page_id: r for r in topic_parsers.parse_topics(spark.createDataFrame(pages, "page_id bigint, type int, id int, contentHtml string")).collect()}
+    assert set(rows) == set(range(1, 13)) - {3, 4} and {k: r.status for k, r in rows.items()} == dict.fromkeys((1, 2, 9, 10, 12), "ok") | {5: "unparsed", 6: "deleted", 7: "redirect", 8: "club", 11: "unparsed"}
+    assert [rows[k].state for k in (6, 7, 8)] == [1, 32, 64]
+    r = rows[1]
+    assert (r.title, r.space, r.space_name, r.uid, r.top_post_pid, r.dateline, r.state, r.display) == ("A & B", "g5", "Space", 12, 1, 1678120440, 4, False)
+    assert [(p.id, p.floor, p.sub, p.related, p.uid, p.username, p.state, p.dateline) for p in r.posts] == [
+        (1, 1, None, None, 12, "u1", 0, 1678120440), (2, 2, None, None, 77, "77", 1, 1678122000), (3, 2, 1, 2, None, "u3", 0, 1678125600), (4, 3, None, None, None, "mod", 4, 1678129200),
+    ]
+    assert (r.posts[0].html, r.posts[0].sign, r.posts[0].nickname) == ("Hello<br> <b>you</b>", "hi", "One")
+    assert (rows[9].id, rows[9].title, rows[9].space, rows[9].top_post_pid, rows[9].dateline, rows[9].posts[0].dateline) == (70, "ep.1 First", "3", -70, None, 0)
+    assert (rows[10].id, rows[10].title, [(p.id, p.username, p.html) for p in rows[10].posts]) == (9, "Name", [(-9, "_pseudo_writer", "")])
+    assert [(p.id, p.username, p.html, p.dateline) for p in rows[12].posts] == [(-7, None, "e", None)]
+
+
 def git(repo, *args):
     env = os.environ | {"GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@x"}
     subprocess.run(["git", "-C", str(repo), *args], check=True, capture_output=True, env=env)
@@ -116,6 +147,22 @@ def test_git_log(spark, tmp_path):
     commit(repo, "more", blog__2="b")
     drain()
     assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["blog/2", "group/1", "group/1", "group/ünï"]
+    # options: one file, from a commit on, after a commit; and a history that is rewritten under the stream
+    ids = commits(str(repo))
+    load = lambda **o: sorted((r.seq, r.path) for r in spark.read.format("git_log").options(path=str(repo), **o).load().collect())
+    assert load(file="group/1", content="false") == [(0, "group/1"), (1, "group/1")] and load(first=ids[1])[0] == (0, "group/1") and load(since=ids[2]) == [(0, "blog/2")]
+    git(repo, "checkout", "-q", "--detach", ids[1])
+    git(repo, "checkout", "-q", "-B", "other")
+    commit(repo, "instead", ep__3="e")
+    commit(repo, "and more", ep__4="e")
+    drain()
+    assert sorted(r.path for r in spark.read.parquet(out).collect())[1:3] == ["ep/3", "ep/4"]
+
+
+def test_texts_of_any_charset():
+    for text, charset in (("abc é", "utf-8"), ("茶话会，你好", "gb18030"), ("abc", "utf-16"), ("﻿x", "utf-8")):
+        assert decode(text.encode(charset)) == text.lstrip("﻿")
+    assert decode(b"") == "" and decode(bytes(range(256)))
 
 
 def test_stream_ingest(spark, tmp_path):
