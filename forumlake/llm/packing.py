@@ -30,8 +30,8 @@ SHARD_TOKENS, SHARD_ROWS = 20_000_000, 200_000
 SCHEMA = "container string, capacity int, bin bigint, doc_id bigint, part int, start int, n_tokens int"
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The container of each size (0 < size <= capacity), numbered from 0."""
+def sum_of_squares(sizes: np.ndarray, capacity: int, merge: bool = True) -> np.ndarray:
+    """The container of each size (0 < size <= capacity), numbered from 0; merge: put what is open at the end together."""
     count = np.zeros(capacity + 1, dtype=np.int64)  # open containers by level
     stack: dict[int, list[int]] = {}
     out = np.empty(len(sizes), dtype=np.int64)
@@ -64,7 +64,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
             fill[b] = full
         else:
             fill.pop(b, None)
-    return _merge_open(out, fill, opened, capacity)
+    return _merge_open(out, fill, opened, capacity) if merge else out
 
 
 def _merge_open(out: np.ndarray, fill: dict[int, int], opened: int, capacity: int) -> np.ndarray:
@@ -146,3 +146,19 @@ def pack(spark: SparkSession, sizes: DataFrame, containers: DataFrame, shard_tok
 def pack_documents(spark: SparkSession, documents: DataFrame, containers: DataFrame, tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
     """`pack` with the tokens of the documents' texts as sizes, counted once for all capacities."""
     return pack(spark, materialise(spark, encode_documents(spark, documents, tokenizer_dir, counts_only=True), "sizes"), containers)
+
+
+def violations(packed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """container, doc_id, bin, problem of a packing that isn't right: none, if it is.
+
+    sizes: doc_id, n_tokens, as packed. A bin holds more than its capacity; a document's parts don't
+    add up to its tokens, don't follow each other, or are several though it fits.
+    """
+    over = packed.groupBy("container", "capacity", "bin").agg(F.sum("n_tokens").alias("n")).where("n > capacity").select("container", F.lit(None).cast("bigint").alias("doc_id"), "bin", F.lit("too full").alias("problem"))
+    whole = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("want"), F.max("n_tokens").alias("most"), F.count("*").alias("copies"))
+    parts = packed.groupBy("container", "capacity", "doc_id").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    both = parts.join(whole, "doc_id", "full")
+    wrong = F.coalesce(F.col("have"), F.lit(-1)) != F.coalesce(F.col("want"), F.lit(-1))
+    split = (F.col("most") <= F.col("capacity")) & (F.col("n") != F.col("copies"))
+    bad = both.where(wrong | split | (F.col("end") != F.col("most"))).select("container", "doc_id", F.lit(None).cast("bigint").alias("bin"), F.when(split, "split").otherwise("not whole").alias("problem"))
+    return over.unionByName(bad)

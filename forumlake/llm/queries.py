@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.llm.main_body import main_body
-from forumlake.llm.packing import pack_documents
+from forumlake.llm.packing import pack, pack_documents, violations
 from forumlake.llm.quality import junk_probability, named_statistics
 from forumlake.llm.tokenize import encode_documents
 from forumlake.llm.topn import top_n
 from forumlake.schema import second, somebody
-from forumlake.session import table
+from forumlake.session import materialise, table
 
 TOP = 5
 KINDS = ("post", "topic")
@@ -46,6 +46,12 @@ def p8_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack_documents(spark, table(spark, root, "documents"), table(spark, root, "pack_capacity"))
 
 
+def p8_violations(spark: SparkSession, root: str) -> DataFrame:
+    """What is wrong with the packing of the whole corpus: nothing."""
+    sizes = materialise(spark, encode_documents(spark, table(spark, root, "documents"), counts_only=True), "sizes")
+    return violations(materialise(spark, pack(spark, sizes, table(spark, root, "pack_capacity")), "packed"), sizes)
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return junk_probability(table(spark, root, "documents")).where("junk >= 0.5").select("doc_id")
 
@@ -61,13 +67,14 @@ def p9_counts(spark: SparkSession, root: str) -> DataFrame:
     return s.select("doc_id", n_chars.alias("n_chars"), n_lines.alias("n_lines"), (F.col("digit_share") > 0).alias("has_digits"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_packing": p8_packing, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts, "p8_violations": p8_violations}
 
 _SEC = "nullif(case when dateline > 100000000000 then dateline // 1000 else dateline end, 0)"
 
 _SHOWN = r"[^\s\p{Z}\x0b\x1c-\x1f\x85]"
 
 ORACLES = {
+    "p8_violations": "select cast(null as varchar) as container, cast(null as bigint) as doc_id, cast(null as bigint) as bin, cast(null as varchar) as problem where false",
     "p9_counts": rf"""
 select doc_id, length(text) as n_chars, cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SHOWN}'))) as bigint) as n_lines,
        regexp_matches(text, '\p{{N}}') as has_digits

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from forumlake.llm import boosting
 from forumlake.llm.holdout import HOLDOUT
-from forumlake.llm.packing import pack, pack_shard, sum_of_squares
+from forumlake.llm.packing import pack, pack_shard, sum_of_squares, violations
 from forumlake.llm.quality import LONGEST_SAMPLED, fit_classifier, fit_model, junk_probability, labelled_sample, named_statistics, put_together, training_set
 from forumlake.llm.seeds import JUNK, PROSE
 from forumlake.llm.signals import signals, weak_label
@@ -87,7 +87,7 @@ def plain_sum_of_squares(sizes, cap):
         else:
             bins[b] = full
         out.append(full)
-    return bins
+    return bins, out
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -95,12 +95,28 @@ def test_sum_of_squares_follows_the_rule(seed):
     rnd = np.random.default_rng(seed)
     cap = int(rnd.integers(5, 20))
     sizes = rnd.integers(1, cap + 1, 60)
-    bins = plain_sum_of_squares(sizes.tolist(), cap)
-    got = sum_of_squares(sizes, cap)
-    loads = np.bincount(got, sizes)
+    bins, levels = plain_sum_of_squares(sizes.tolist(), cap)
+    placed = sum_of_squares(sizes, cap, merge=False)
+    fill, got = {}, []
+    for b, n in zip(placed.tolist(), sizes.tolist(), strict=True):
+        fill[b] = fill.get(b, 0) + n
+        got.append(fill[b])
+    assert got == levels and sorted(fill.values()) == sorted(bins)
+    loads = np.bincount(sum_of_squares(sizes, cap), sizes)
     assert loads.max() <= cap and len(loads) <= len(bins) and loads.sum() == sizes.sum()
 
 
+def test_violations_are_found(spark):
+    sizes = spark.createDataFrame([(1, 3), (2, 0), (4, 25), (4, 25), (5, 9)], "doc_id bigint, n_tokens int")
+    kinds = spark.createDataFrame([("a", 10)], "container string, capacity int")
+    packed = pack(spark, sizes, kinds)
+    assert violations(packed, sizes).count() == 0
+    for broken, problem in ((packed.withColumn("bin", F.lit(0).cast("bigint")), "too full"), (packed.where("doc_id <> 5"), "not whole"), (packed.where("not (doc_id = 4 and part = 1)"), "not whole")):
+        assert problem in {r.problem for r in violations(broken, sizes).collect()}
+    halves = packed.where("doc_id <> 5").unionByName(spark.createDataFrame([("a", 10, 900, 5, 0, 0, 4), ("a", 10, 901, 5, 1, 4, 5)], packed.schema))
+    assert [r.problem for r in violations(halves, sizes).collect()] == ["split"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 100), max_size=80), st.integers(1, 40))
 def test_packing_keeps_every_token_once(sizes, cap):
