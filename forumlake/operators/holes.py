@@ -93,6 +93,13 @@ def merge_masks(old: DataFrame, new: DataFrame, visited: DataFrame) -> DataFrame
     return both.select("type", "word_idx", word.alias("word"))
 
 
+def xor_masks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Bits that are set in one of two masks only; a mask's missing words are 0."""
+    both = a.select("type", "word_idx", F.col("word").alias("a")).join(b.select("type", "word_idx", F.col("word").alias("b")), ["type", "word_idx"], "full")
+    zero = F.lit(0).cast("bigint")
+    return both.select("type", "word_idx", F.coalesce("a", zero).bitwiseXOR(F.coalesce("b", zero)).alias("word"))
+
+
 def mask_sizes(masks: DataFrame) -> DataFrame:
     """Bits set and bits held, per type."""
     return masks.groupBy("type").agg(F.sum(F.bit_count("word")).cast("bigint").alias("cardinality"), ((F.max("word_idx") + 1) * 64).alias("size"))

@@ -42,6 +42,27 @@ def space_stat(posts: DataFrame, topics: DataFrame, given: DataFrame, users: Dat
     return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).drop("n")
 
 
+def space_stat_full(posts: DataFrame, topics: DataFrame, received: DataFrame, given: DataFrame, users: DataFrame, spaces: DataFrame, as_of: int) -> DataFrame:
+    """type, username, name of a space, and all counts of the user's posts and topics there, reactions given and received.
+
+    Counts are made per uid and space id before names are met; spaces of equal name are one. Null on
+    the side that the user has nothing of.
+    """
+    keys = ["type", "username", "name"]
+
+    def side(items: DataFrame, flags: dict[str, str], prefix: str) -> DataFrame:
+        names = ["total", "r7d", "r30d", *flags]
+        stat = counts.activity_stat(items, users, flags, as_of, ["sid"]).join(spaces.select("type", "sid", "name"), ["type", "sid"]).groupBy(*keys)
+        return stat.agg(*[F.sum(n).cast("bigint").alias(f"{prefix}_{n}") for n in names])
+
+    def likes_of(df: DataFrame, alias: str) -> DataFrame:
+        return df.groupBy("type", "username", F.col("space_name").alias("name")).agg(F.sum("cnt").cast("bigint").alias(alias))
+
+    every = side(posts, counts.POST_FLAGS, "post").join(side(topics, counts.TOPIC_FLAGS, "topic"), keys, "full")
+    every = every.join(likes_of(likes.given_by_space(given, topics, users, spaces), "likes_given"), keys, "full")
+    return every.join(likes_of(likes.received_by_space(received, topics, posts, users, spaces), "likes_received"), keys, "full")
+
+
 def user_stats(posts: DataFrame, topics: DataFrame, received: DataFrame, given: DataFrame, users: DataFrame, spaces: DataFrame, as_of: int, usernames: DataFrame | None = None) -> DataFrame:
     """One row per type and username with nested statistics: counts, faces, spaces, recent replies, topics and reactions.
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.functions import scalars as S
-from forumlake.operators import history, holes, identity, merge, user_stats
+from forumlake.operators import counts, history, holes, identity, merge, user_stats
 from forumlake.plans import forum
 from forumlake.plans import model as M
 from forumlake.plans.model import AS_OF, SQL
-from forumlake.schema import SPACE_TYPES
+from forumlake.schema import DAY, SPACE_TYPES
 from forumlake.session import scratch, table
 from forumlake.sources import documents, lines, topic_parsers
 
@@ -217,6 +217,28 @@ def user_stats_of_some(sp: SparkSession, d: str) -> DataFrame:
     return s.select("type", "username", "post_total", "topic_total")
 
 
+def _side(t: str, flags: dict[str, str], prefix: str) -> str:
+    bits = ", ".join(f"count(*) filter (x.state & {S.STATE[f]} = {S.STATE[f]}) as {prefix}_{n}" for n, f in flags.items())
+    return f"""select x.type, u.username, s.name, count(*) as {prefix}_total, count(*) filter (x.dateline >= {AS_OF - 7 * DAY}) as {prefix}_r7d, count(*) filter (x.dateline >= {AS_OF - 30 * DAY}) as {prefix}_r30d, {bits}
+        from {t} x join u on u.id = x.uid join s on s.type = x.type and s.sid = x.sid group by 1, 2, 3"""
+
+
+@query("space_stat_full", SQL + f""", ps as ({_side('p', counts.POST_FLAGS, 'post')}), ts as ({_side('t', counts.TOPIC_FLAGS, 'topic')}),
+    g0 as (select lr.type, u.username, s.sid, s.name, sum(lr.total) as n from u join lr on lr.uid = u.id join t on lr.type = t.type and lr.mid = t.id and t.state <> 1 join s on s.type = t.type and s.sid = t.sid
+      group by all having sum(lr.total) > 0), gs as (select type, username, name, cast(sum(n) as bigint) as likes_given from g0 group by 1, 2, 3),
+    r0 as (select lk.type, u.username, s.sid, s.name, sum(lk.total) as n {forum._RECEIVED} where t.state <> 1 and p.state <> 1 group by all having sum(lk.total) > 0),
+    rs as (select type, username, name, cast(sum(n) as bigint) as likes_received from r0 group by 1, 2, 3)
+    select * from ps full join ts using (type, username, name) full join gs using (type, username, name) full join rs using (type, username, name)""")
+def space_stat_full(sp: SparkSession, d: str) -> DataFrame:
+    return user_stats.space_stat_full(M.posts(sp, d), M.topics(sp, d), M.likes_received(sp, d), M.likes_given(sp, d), M.users(sp, d), M.spaces(sp, d), AS_OF)
+
+
+@query("mask_xor", SQL + forum._HOLES + " select type, id from h where (id % 2 = 0) <> (id % 3 = 0)")
+def mask_xor(sp: SparkSession, d: str) -> DataFrame:
+    h = holes.holes(forum._ids(sp, d))
+    return holes.word_ids(holes.xor_masks(holes.words(h.where("id % 2 = 0")), holes.words(h.where("id % 3 = 0"))))
+
+
 # -- spot checks -------------------------------------------------------------
 @query("spot_check_round", SQL + forum._IDS.replace(", i", ", i0", 1) + """, i as (select * from i0), m as (select type, max(id) as top from i group by type),
     h as (select m.type, r.id from m, lateral (select unnest(range(1, top + 1)) as id) r anti join i on i.type = m.type and i.id = r.id), c as (select type, count(*) as n from h where id % 3 <> 0 group by type)
