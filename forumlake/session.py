@@ -109,9 +109,13 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The size of all tables that df is made from, as in files; nothing runs. Unlike `plan_bytes` it isn't multiplied up by joins."""
+    """The size of all tables that df is made from, as in files; nothing runs. Unlike `plan_bytes` it isn't multiplied up by joins.
+
+    What Spark knows no size of (rows that come from the driver or another process) counts as nothing.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 #: Up to so many bytes (as in files) are moved to spread costly work over the cores.

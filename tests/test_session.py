@@ -56,3 +56,5 @@ def test_input_bytes_are_not_multiplied_by_joins(spark, sf):
     a, b = (session.table(spark, sf, t) for t in ("ba_user", "ba_topic"))
     one, other = session.input_bytes(a), session.input_bytes(b)
     assert 0 < one and session.input_bytes(a.join(b, a["id"] == b["uid"])) == one + other
+    local = spark.createDataFrame([(1,)], "x int")
+    assert session.input_bytes(local) < 1 << 60 and session.input_bytes(local.crossJoin(a)) >= one
