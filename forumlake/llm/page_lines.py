@@ -67,18 +67,29 @@ def _joined(m: re.Match) -> str:
     return t.replace("\n", " ") + "\n" * t.count("\n")
 
 
+def _ends(content: str, name: str) -> dict[int, int]:
+    """Where each closed element of a name ends, by the place after its opening tag; one pass, however they are nested."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for t in re.compile(rf"<(/?){name}\b[^<>]*>", re.I).finditer(content):
+        if not t.group(1):
+            opened.append(t.end())
+        elif opened:
+            out[opened.pop()] = t.end()
+    return out
+
+
 def _without_hidden(content: str) -> str:
     """Elements that aren't shown are blanked, up to their closing tag (or the next tag, if there is none)."""
     out, at = [], 0
+    ends: dict[str, dict[int, int]] = {}
     for m in _HIDDEN.finditer(content):
         if m.start() < at:
             continue
-        depth, end = 1, -1
-        for t in re.compile(rf"<(/?){m.group(1)}\b[^<>]*>", re.I).finditer(content, m.end()):
-            depth += -1 if t.group(1) else 1
-            if not depth:
-                end = t.end()
-                break
+        name = m.group(1).lower()
+        if name not in ends:
+            ends[name] = _ends(content, name)
+        end = ends[name].get(m.end(), -1)
         if end < 0:
             nxt = content.find("<", m.end())
             end = nxt if nxt >= 0 else len(content)
@@ -190,6 +201,7 @@ class Reader:
         at = _heading_line(facts, heading)
         around: list[tuple[str, ...]] = []
         stack: list[tuple[str, str]] = []
+        opened: dict[str, int] = {}  # how many of a name are in the stack
         block, level, dated, above = "i:", "h:0", "m:0", "u:0"
         for i, f in enumerate(facts):
             inner = block
@@ -197,11 +209,13 @@ class Reader:
                 for n, c in f.blocks:
                     if n[0] != "/":
                         stack.append((n, c))
+                        opened[n] = opened.get(n, 0) + 1
                         inner = "i:" + c
                         continue
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == n[1:]:
-                            del stack[k:]
+                    while opened.get(n[1:]):  # closes what is open in it, too
+                        last = stack.pop()[0]
+                        opened[last] -= 1
+                        if last == n[1:]:
                             break
                 block = "i:" + stack[-1][1] if stack else "i:"
             if f.level:

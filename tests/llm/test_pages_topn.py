@@ -84,6 +84,17 @@ def test_visible_lines_keep_their_numbers():
         assert len(Reader().read(odd, "t").facts) == odd.count("\n") + 1
 
 
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    t = time.time()
+    for odd in ("<div>\n" * 60_000 + "</td>\n" * 60_000, "<p hidden>\n" * 40_000, "<div class=x>" * 60_000 + "</section>" * 60_000, '<div style="display:none">' * 20_000 + "</div>" * 20_000 + "x"):
+        assert len(Reader().read(odd, "t").facts) == odd.count("\n") + 1
+    assert time.time() - t < 60
+    nested = "<div hidden>a\n<div>b</div>\nc</div>d\n<p hidden>e\n<p hidden>f</p>g"
+    assert [f.text for f in Reader().read(nested, "t").facts] == ["", "", "d", "", "g"]
+
+
 def test_labels_and_weights(weights):
     y = labels_of([SEMANTIC, PLAIN])
     assert y[1] is None and [i + 1 for i, k in enumerate(y[0]) if k == TEXT] == BODY
