@@ -85,6 +85,7 @@ class Tree:
         self.page = page
         self.root = Node("", {}, 0)
         stack, pos = [self.root], 0
+        opened: dict[str, int] = {}  # how many of a tag are in the stack
         for m in _TOKEN.finditer(page):
             if m.start() > pos:
                 stack[-1].texts.append((pos, m.start()))
@@ -93,10 +94,12 @@ class Tree:
                 continue
             tag = m.group(3).lower()
             if m.group(2):
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                for n in stack[at:] if at else []:
-                    n.end = m.start()
-                del stack[at or len(stack) :]
+                while opened.get(tag):  # closes what is open in it, too
+                    last = stack.pop()
+                    last.end = m.start()
+                    opened[last.tag] -= 1
+                    if last.tag == tag:
+                        break
                 continue
             attrs = {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(m.group(4))}
             n = Node(tag, attrs, m.end(), m.end())
@@ -104,6 +107,7 @@ class Tree:
             if tag not in _VOID and not m.group(4).endswith("/"):
                 n.end = len(page)
                 stack.append(n)
+                opened[tag] = opened.get(tag, 0) + 1
         if pos < len(page):
             stack[-1].texts.append((pos, len(page)))
         self.root.end = len(page)
